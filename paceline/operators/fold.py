@@ -58,6 +58,7 @@ def with_lives(
     if ways.isEmpty():
         return rows.withColumns(usual)
 
+    ways = checkpoint(ways)
     unusual = rows.join(ways, "job_id", "left_semi")
     told = _split_by_resets(unusual, chunk)
     crowded = ways.filter("crowded").select("job_id")
@@ -79,7 +80,7 @@ def _unusual_jobs(rows: DataFrame, max_attempts: int) -> DataFrame:
     jobs = attempts.groupBy("job_id").agg(
         F.max("off").alias("flagged"), (F.count(F.lit(1)) > max_attempts).alias("crowded")
     )
-    return checkpoint(jobs.filter("flagged or crowded"))
+    return jobs.filter("flagged or crowded")
 
 
 # --- resets ------------------------------------------------------------------------

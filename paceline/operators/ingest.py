@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.functions.rows import compute_once
 from paceline.functions.text import is_blank, label
 
 # Label names of the header and the place of the CPU load in the tree.
@@ -47,31 +48,33 @@ def read_load(tree: Column, *, skip_missing: bool = False) -> Column:
 def parse_messages(envelopes: DataFrame, *, skip_missing: bool = False) -> DataFrame:
     """Envelopes with an arrival number ``arr`` → message rows plus ``reason``.
 
-    ``reason`` is null for a usable row; :func:`split_rejects` uses it.
+    ``metricsSnapshot`` is the metric tree as a variant. ``reason`` is null for a usable row; :func:`split_rejects` uses it.
     """
-    rows = project_header(envelopes).withColumn("_tree", F.try_parse_json("metricsSnapshot"))
-    is_worker = F.coalesce(sub_group(F.col("_tree"), WORKER_GROUP).isNotNull(), F.lit(False))
-    rows = rows.withColumns(
-        {
-            "enabled": F.coalesce("autoScalingEnabled", F.lit(False)),
-            "ts": F.col("timestamp"),
-            "is_worker": is_worker,
-        }
-    )
-    rows = rows.withColumn(
-        "load", F.when(F.col("is_worker"), read_load(F.col("_tree"), skip_missing=skip_missing))
-    )
-    names = ["arr", "job_id", "attempt_id", "container", "enabled", "ts", "is_worker", "load"]
-    used = {*names, "metricHeader", "metricsSnapshot", "autoScalingEnabled", "timestamp"}
+    used = {"arr", "metricHeader", "metricsSnapshot", "autoScalingEnabled", "timestamp"}
     extra = [c for c in envelopes.columns if c not in used]
-    return rows.withColumn("reason", reject_reason(skip_missing)).select(*names, *extra, "reason")
+    tree = F.col("metricsSnapshot")
+    rows = project_header(envelopes).withColumn("_worker", sub_group(tree, WORKER_GROUP).isNotNull())
+    load = F.when(F.col("_worker"), read_load(tree, skip_missing=skip_missing))
+    fields = F.struct(
+        "job_id",
+        "attempt_id",
+        "container",
+        F.coalesce("autoScalingEnabled", F.lit(False)),
+        "timestamp",
+        "_worker",
+        load,
+        F.col("metricHeader").isNull() | F.col("timestamp").isNull(),
+    )
+    names = ["job_id", "attempt_id", "container", "enabled", "ts", "is_worker", "load"]
+    parsed = compute_once(rows, fields, [*names, "_malformed"], ["arr", *extra])
+    return parsed.withColumn("reason", reject_reason(skip_missing)).drop("_malformed")
 
 
 def reject_reason(skip_missing: bool = False) -> Column:
     """Why a parsed row cannot be used; null for a usable row."""
     bad_load = F.lit(False) if skip_missing else F.col("load").isNull()
     return (
-        F.when(F.col("metricHeader").isNull() | F.col("ts").isNull(), "malformed")
+        F.when(F.col("_malformed"), "malformed")
         .when(F.col("job_id").isNull(), "no job id")
         .when(is_blank(F.col("attempt_id")), "no attempt id")
         .when(F.col("is_worker") & bad_load, "unreadable load")

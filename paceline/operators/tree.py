@@ -3,6 +3,9 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Levels of names that a metric tree has at most, unless the caller says otherwise.
+DEPTH = 8
+
 
 def nesting_depth(json_text: Column) -> Column:
     """How deep the braces of a JSON text nest; braces inside strings do not count."""
@@ -22,54 +25,54 @@ def flatten_tree(
     json_text: str,
     keys: list[str],
     *,
-    depth: int | None = None,
+    depth: int | None = DEPTH,
     empty_groups: bool = False,
 ) -> DataFrame:
     """JSON objects → (keys, path, name, value), one row per leaf.
 
     The path stays an array because names may contain dots. A JSON null stays null. With
     ``empty_groups`` an object without members gives a row with a null name. One chain of
-    generators does all levels in one pass over the rows. Without ``depth`` the number of
-    levels is measured first; with it, a deeper row raises, so nothing is lost silently.
+    generators opens all levels in one pass over the rows. ``depth`` is the number of name
+    levels to open; a deeper row raises, so nothing is lost silently. With ``depth=None``
+    the levels are measured first, which reads the rows once more.
     """
     levels = depth
     if levels is None:
         deepest = rows.agg(F.max(nesting_depth(F.col(json_text)))).first()[0]
         levels = max(deepest or 0, 1)
     spark = rows.sparkSession
-    level = rows.select(
+    level = rows.filter(F.col(json_text).rlike(r"^\s*\{")).select(
         *keys,
         F.array().cast("array<string>").alias("_path"),
         F.try_parse_json(json_text).alias("_node"),
-        F.lit(False).alias("_empty"),
-    ).filter(F.schema_of_variant("_node").startswith("OBJECT"))
+    )
     for _ in range(levels):
-        is_group = F.schema_of_variant("_node").startswith("OBJECT")
-        opened = level.withColumn("_group", F.when(is_group, F.col("_node")))
-        # The outer form hands a leaf on unchanged, with a null key.
-        opened = opened.lateralJoin(spark.tvf.variant_explode_outer(F.col("_group").outer()))
+        # The outer form hands a leaf on unchanged, with a null key. Members of a list
+        # have a position but no key; the list as a whole is a leaf.
+        opened = level.lateralJoin(spark.tvf.variant_explode_outer(F.col("_node").outer()))
         has_child = F.col("key").isNotNull()
-        if not empty_groups:
-            opened = opened.filter(F.col("_group").isNull() | has_child)
+        opened = opened.filter(has_child | F.col("pos").isNull() | (F.col("pos") == 0))
         level = opened.select(
             *keys,
             F.when(has_child, F.concat("_path", F.array("key")))
             .otherwise(F.col("_path"))
             .alias("_path"),
-            F.when(has_child, F.col("value"))
-            .when(F.col("_group").isNull(), F.col("_node"))
-            .alias("_node"),
-            (F.col("_empty") | (F.col("_group").isNotNull() & ~has_child)).alias("_empty"),
+            F.when(has_child, F.col("value")).otherwise(F.col("_node")).alias("_node"),
         )
-    too_deep = F.coalesce(F.schema_of_variant("_node").startswith("OBJECT"), F.lit(False))
+    kind = F.schema_of_variant("_node")
+    is_empty = F.coalesce(kind == "OBJECT<>", F.lit(False))
+    too_deep = F.coalesce(kind.startswith("OBJECT<") & ~is_empty, F.lit(False))
+    level = level.filter(F.col("_node").isNotNull())
+    if not empty_groups:
+        level = level.filter(~is_empty)
     refuse = F.raise_error(F.lit("the tree is deeper than the given depth"))
     value = F.when(too_deep, refuse.cast("string")).otherwise(F.col("_node").cast("string"))
     inner = F.slice("_path", F.lit(1), F.greatest(F.size("_path") - 1, F.lit(0)))
     return level.select(
         *keys,
-        F.when(F.col("_empty"), F.col("_path")).otherwise(inner).alias("path"),
-        F.when(~F.col("_empty"), F.try_element_at("_path", F.lit(-1))).alias("name"),
-        value.alias("value"),
+        F.when(is_empty, F.col("_path")).otherwise(inner).alias("path"),
+        F.when(~is_empty, F.try_element_at("_path", F.lit(-1))).alias("name"),
+        F.when(~is_empty, value).alias("value"),
     )
 
 

@@ -29,6 +29,8 @@ from paceline.streaming import reports
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
+TREE_DEPTH = 5  # names from the root of a metric tree to its leaves
+
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -482,14 +484,16 @@ def snapshot_messages(spark, folder):
 @query
 def metric_flatten(spark, folder):
     rows = views.envelopes(events(spark, folder))
-    leaves = flatten_tree(rows, "metricsSnapshot", ["event_id"])
+    leaves = flatten_tree(rows, "metricsSnapshot", ["event_id"], depth=TREE_DEPTH)
     return leaves.withColumn("path", F.array_join("path", "/"))
 
 
 @query
 def metric_tree_round_trip(spark, folder):
     rows = views.envelopes(events(spark, folder))
-    leaves = flatten_tree(rows, "metricsSnapshot", ["event_id"], empty_groups=True)
+    leaves = flatten_tree(
+        rows, "metricsSnapshot", ["event_id"], depth=TREE_DEPTH, empty_groups=True
+    )
     return build_tree(leaves, ["event_id"])
 
 

@@ -15,12 +15,12 @@ CLICK_JSON = T.StructType(
     [T.StructField("timestamp", T.StringType()), T.StructField("page", T.StringType())]
 )
 
-# Envelope of one diagnostics message. The metric tree has no fixed shape, so it is
-# read as a string and parsed on its own.
+# Envelope of one diagnostics message. The metric tree has no fixed shape, so it is read
+# as a variant, in the same pass as the envelope.
 DIAGNOSTICS_JSON = T.StructType(
     [
         T.StructField("metricHeader", T.MapType(T.StringType(), T.StringType())),
-        T.StructField("metricsSnapshot", T.StringType()),
+        T.StructField("metricsSnapshot", T.VariantType()),
         T.StructField("autoScalingEnabled", T.BooleanType()),
         T.StructField("timestamp", T.LongType()),
     ]

@@ -4,6 +4,7 @@ they work on files, tables and message buses, batch or streaming."""
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.functions.rows import compute_once
 from paceline.functions.times import CLICK_PATTERN, parse_click_time
 from paceline.schemas import CLICK_JSON, DIAGNOSTICS_JSON, JOB_CONFIG
 
@@ -52,13 +53,15 @@ def decode_clicks(
     records: DataFrame, *, value: str = "value", pattern: str | None = CLICK_PATTERN
 ) -> tuple[DataFrame, DataFrame]:
     """(click rows ``ts, page`` with the other columns, rejected input rows)."""
-    rows = records.withColumn("_click", F.from_json(value, CLICK_JSON))
-    rows = rows.withColumn("ts", parse_click_time(F.col("_click.timestamp"), pattern))
-    rows = rows.withColumn("page", F.col("_click.page"))
-    usable = F.col("_click").isNotNull() & F.col("ts").isNotNull()
     rest = [c for c in records.columns if c not in {value, "ts", "page"}]
-    good = rows.filter(usable).select("ts", "page", *rest)
-    return good, rows.filter(~usable).select(*records.columns)
+    rows = compute_once(
+        records, F.from_json(value, CLICK_JSON), ["_time", "_page"], records.columns
+    )
+    time = F.struct(parse_click_time(F.col("_time"), pattern))
+    rows = compute_once(rows, time, ["_ts"], [*records.columns, "_page"])
+    good = rows.filter(F.col("_ts").isNotNull())
+    good = good.select(F.col("_ts").alias("ts"), F.col("_page").alias("page"), *rest)
+    return good, rows.filter(F.col("_ts").isNull()).select(*records.columns)
 
 
 def decode_diagnostics(records: DataFrame, *, value: str = "value") -> DataFrame:
@@ -67,9 +70,9 @@ def decode_diagnostics(records: DataFrame, *, value: str = "value") -> DataFrame
     Text that is no JSON object leaves ``metricHeader`` null; ``parse_messages`` reports
     such rows as malformed.
     """
-    rows = records.withColumn("_message", F.from_json(F.col(value).cast("string"), DIAGNOSTICS_JSON))
     rest = [c for c in records.columns if c != value]
-    return rows.select(*rest, "_message.*")
+    message = F.from_json(F.col(value).cast("string"), DIAGNOSTICS_JSON)
+    return compute_once(records, message, DIAGNOSTICS_JSON.names, rest)
 
 
 def job_config_table(spark: SparkSession, path: str) -> DataFrame:

@@ -29,14 +29,17 @@ def encode_statistics(pattern: str = CLICK_PATTERN) -> Column:
     ).alias("value")
 
 
-def encode_diagnostics() -> Column:
-    """Envelope row → JSON text. The tree column already is JSON text and goes in as it is,
-    so no level of it is parsed again."""
+def encode_diagnostics(tree: Column | None = None) -> Column:
+    """Envelope row → JSON text.
+
+    The tree is JSON text, by default the column ``metricsSnapshot``, and goes in as it is,
+    so no level of it is parsed again. For a variant pass ``to_json`` of it.
+    """
     return F.concat(
         F.lit('{"metricHeader":'),
         F.to_json("metricHeader"),
         F.lit(',"metricsSnapshot":'),
-        F.col("metricsSnapshot"),
+        F.col("metricsSnapshot") if tree is None else tree,
         F.lit(',"autoScalingEnabled":'),
         F.col("autoScalingEnabled").cast("string"),
         F.lit(',"timestamp":'),
