@@ -15,15 +15,15 @@ cheap profile pass finds the jobs that do, and only those take the longer ways.
 """
 
 from collections.abc import Iterator
-from functools import reduce
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paceline.operators.arrival import CHUNK, chunk_of, gate, newest_per_key, running
 from paceline.operators.ingest import with_attempt
-from paceline.session import checkpoint
+from paceline.session import saved
 
 MAX_ATTEMPTS = 100
 
@@ -36,51 +36,87 @@ NO_RESET = -(2**62)
 NEVER = NO_RESET - 1
 
 
-def fold(
-    messages: DataFrame, *, max_attempts: int = MAX_ATTEMPTS, chunk: int = CHUNK
-) -> DataFrame:
-    """Messages that count, with ``life`` and ``live`` (still known at the end)."""
-    return gate(with_lives(messages, max_attempts=max_attempts, chunk=chunk), LIFE, chunk=chunk)
+def state_columns() -> list[Column]:
+    """What is remembered of a life: the arrivals and event times of its first and last
+    message, and the latest event time among its metric messages."""
+    metric_time = F.when(F.col("is_worker") & F.col("load").isNotNull(), F.col("ts"))
+    return [
+        F.min("arr").alias("created"),
+        F.max("arr").alias("last_arr"),
+        F.min_by("ts", "arr").alias("first_time"),
+        F.max("ts").alias("last_time"),
+        F.max(metric_time).alias("last_metric"),
+    ]
+
+
+@dataclass(frozen=True)
+class Lives:
+    """``rows``: messages of known attempts with ``life`` and ``live`` (still known at the
+    end), before the event-time gate. ``state``: one row per live life."""
 
+    rows: DataFrame
+    state: DataFrame
 
-def with_lives(
+
+def read_lives(
     messages: DataFrame, *, max_attempts: int = MAX_ATTEMPTS, chunk: int = CHUNK
-) -> DataFrame:
-    """Messages of known attempts with ``life`` and ``live``, before the event-time gate.
+) -> Lives:
+    """Find the lives of all attempts.
 
-    First, last and creation of a life are the same before and after the gate, so state
-    can be taken from here without any ordering work. Runs the profile pass right away
-    to choose the plan; the rest is lazy.
+    Runs one pass over the messages right away: a profile per (job, attempt), combined
+    before the shuffle. It shows which jobs are unusual, and it is the state of all
+    others. First, last and creation of a life are the same before and after the gate, so
+    the state needs no ordering work.
     """
     rows = with_attempt(messages)
+    off = F.max(~F.col("enabled")).alias("_off")
+    profile = saved(rows.groupBy(*ATTEMPT).agg(off, *state_columns()))
+    jobs = profile.groupBy("job_id").agg(
+        F.max("_off").alias("flagged"), (F.count(F.lit(1)) > max_attempts).alias("crowded")
+    )
+    unusual = jobs.filter("flagged or crowded")
     usual = {"life": F.lit(NO_RESET), "live": F.lit(True)}
-    ways = _unusual_jobs(rows, max_attempts)
-    if ways.isEmpty():
-        return rows.withColumns(usual)
-
-    ways = checkpoint(ways)
-    unusual = rows.join(ways, "job_id", "left_semi")
-    told = _split_by_resets(unusual, chunk)
-    crowded = ways.filter("crowded").select("job_id")
-    parts = [rows.join(ways, "job_id", "left_anti").withColumns(usual)]
-    if crowded.isEmpty():
-        parts.append(told)
-    else:
-        crowd = told.join(crowded, "job_id", "left_semi")
-        returning = checkpoint(_returning_jobs(crowd, max_attempts))
-        parts.append(told.join(crowded, "job_id", "left_anti"))
-        parts.append(_drop_evicted(crowd.join(returning, "job_id", "left_anti"), max_attempts))
-        parts.append(_follow(unusual.join(returning, "job_id", "left_semi"), max_attempts, chunk))
-    return reduce(DataFrame.unionByName, parts)
-
-
-def _unusual_jobs(rows: DataFrame, max_attempts: int) -> DataFrame:
-    """Jobs with a disabled message or more attempts than a job keeps."""
-    attempts = rows.groupBy(*ATTEMPT).agg(F.max(~F.col("enabled")).alias("off"))
-    jobs = attempts.groupBy("job_id").agg(
-        F.max("off").alias("flagged"), (F.count(F.lit(1)) > max_attempts).alias("crowded")
+    state = profile.drop("_off").withColumn("life", F.lit(NO_RESET))
+    if unusual.isEmpty():
+        return Lives(rows.withColumns(usual), state)
+
+    unusual = saved(unusual)
+    told = _unusual_lives(rows.join(unusual, "job_id", "left_semi"), unusual, max_attempts, chunk)
+    return Lives(
+        rows.join(unusual, "job_id", "left_anti").withColumns(usual).unionByName(told),
+        state.join(unusual, "job_id", "left_anti").unionByName(summarise(told)),
     )
-    return jobs.filter("flagged or crowded")
+
+
+def with_lives(messages: DataFrame, **options) -> DataFrame:
+    """The rows of :func:`read_lives`."""
+    return read_lives(messages, **options).rows
+
+
+def fold(
+    messages: DataFrame, *, max_attempts: int = MAX_ATTEMPTS, chunk: int = CHUNK
+) -> DataFrame:
+    """Messages that count, with ``life`` and ``live``."""
+    return gate(with_lives(messages, max_attempts=max_attempts, chunk=chunk), LIFE, chunk=chunk)
+
+
+def summarise(rows: DataFrame) -> DataFrame:
+    """Rows with lives → one state row per live life."""
+    return rows.filter("live").groupBy(*LIFE).agg(*state_columns())
+
+
+def _unusual_lives(
+    rows: DataFrame, jobs: DataFrame, max_attempts: int, chunk: int
+) -> DataFrame:
+    told = _split_by_resets(rows, chunk)
+    crowded = jobs.filter("crowded").select("job_id")
+    if crowded.isEmpty():
+        return told
+    crowd = told.join(crowded, "job_id", "left_semi")
+    returning = saved(_returning_jobs(crowd, max_attempts))
+    gone = _drop_evicted(crowd.join(returning, "job_id", "left_anti"), max_attempts)
+    back = _follow(rows.join(returning, "job_id", "left_semi"), max_attempts, chunk)
+    return told.join(crowded, "job_id", "left_anti").unionByName(gone).unionByName(back)
 
 
 # --- resets ------------------------------------------------------------------------
@@ -98,7 +134,7 @@ def _split_by_resets(rows: DataFrame, chunk: int) -> DataFrame:
     seen = running(rows, ATTEMPT, F.when(F.col("enabled"), F.col("arr")), "_known", chunk=chunk)
     seen = seen.withColumn("_known", F.coalesce("_known", F.lit(NEVER)))
     off = seen.filter(~F.col("enabled")).select("job_id", "arr", "_known")
-    resets = checkpoint(_find_resets(checkpoint(off), chunk))
+    resets = saved(_find_resets(saved(off), chunk))
 
     marks = resets.select("job_id", "arr").withColumn("_mark", F.lit(True))
     marked = seen.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
@@ -254,7 +290,7 @@ def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
             yield _run_frame(out)
         yield _run_frame([(job, None, None, a, born) for a, born in known.items()])
 
-    lives = checkpoint(
+    lives = saved(
         runs.repartition("job_id")
         .sortWithinPartitions("job_id", "arr")
         .mapInPandas(

@@ -5,23 +5,16 @@ from pyspark.sql import functions as F
 
 from paceline.functions.sizes import JobSize, size_struct
 from paceline.operators.arrival import newest_per_key
-from paceline.operators.fold import ATTEMPT, LIFE, MAX_ATTEMPTS
+from paceline.operators.fold import ATTEMPT, MAX_ATTEMPTS, summarise
 
 
 def job_state(rows: DataFrame) -> DataFrame:
     """First and last event time of every live life, and the arrival that created it.
 
-    Takes the output of ``with_lives`` or ``fold``; both give the same result.
+    Takes the rows of ``read_lives`` or the output of ``fold``; both give the same result,
+    and so does ``read_lives(...).state``, which costs nothing more.
     """
-    return (
-        rows.filter("live")
-        .groupBy(*LIFE)
-        .agg(
-            F.min("arr").alias("created"),
-            F.min_by("ts", "arr").alias("first_time"),
-            F.max("ts").alias("last_time"),
-        )
-    )
+    return summarise(rows)
 
 
 def with_size(

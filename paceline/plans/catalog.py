@@ -15,7 +15,7 @@ from paceline.operators import actions as queue
 from paceline.operators import buckets, registry, state
 from paceline.operators.arrival import gate, newest_per_key, running_count
 from paceline.operators.clicks import click_counts
-from paceline.operators.fold import LIFE, fold, with_lives
+from paceline.operators.fold import fold, read_lives
 from paceline.operators.ingest import parse_messages, split_rejects, sub_group
 from paceline.operators.tree import build_tree, flatten_tree
 from paceline.plans import views
@@ -43,7 +43,7 @@ def _messages(spark: SparkSession, folder: str) -> DataFrame:
 
 def _state(spark: SparkSession, folder: str) -> DataFrame:
     rows = events(spark, folder)
-    kept = state.job_state(with_lives(views.messages(rows)))
+    kept = read_lives(views.messages(rows)).state
     return state.with_size(kept, views.job_config(rows), views.DEFAULT_SIZE)
 
 
@@ -132,8 +132,8 @@ def fold_with_resets(spark, folder):
 
 @query
 def state_with_resets(spark, folder):
-    kept = with_lives(views.flagged_messages(events(spark, folder)))
-    return state.job_state(kept).select("job_id", "attempt_id", "created", "first_time", "last_time")
+    kept = read_lives(views.flagged_messages(events(spark, folder))).state
+    return kept.select("job_id", "attempt_id", "created", "first_time", "last_time")
 
 
 # --- state -------------------------------------------------------------------------------

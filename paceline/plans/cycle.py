@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from paceline.operators.actions import enqueue, mark_issued, next_to_issue, trim, with_capacity
 from paceline.plans.evaluate import Now, evaluate
 from paceline.plans.policies import Settings
-from paceline.session import checkpoint
+from paceline.session import saved
 
 log = logging.getLogger(__name__)
 
@@ -30,7 +30,7 @@ def issue_round(
     whose enforcement fails stays enqueued and is tried again in the next round."""
     issued = with_capacity(next_to_issue(actions), capacity)
     if enforce is not None:
-        issued = checkpoint(issued)
+        issued = saved(issued)
         try:
             enforce(issued)
         except Exception:

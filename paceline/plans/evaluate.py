@@ -11,7 +11,7 @@ from paceline.functions.times import bucket_start, whole_buckets
 from paceline.operators.actions import without_action
 from paceline.operators.arrival import gate
 from paceline.operators.buckets import bucket, is_valid_window
-from paceline.operators.fold import LIFE, with_lives
+from paceline.operators.fold import LIFE, read_lives
 from paceline.operators.state import latest_attempts, with_size
 from paceline.plans.policies import Policy, Settings
 
@@ -30,27 +30,11 @@ def evaluate(
 
     ``now_ms`` is a number, a column, or a function of the state table.
     """
-    rows = with_lives(messages, max_attempts=settings.max_attempts, chunk=settings.chunk)
-    state = with_size(_state_with_worker_time(rows), job_config, settings.default_size)
+    lives = read_lives(messages, max_attempts=settings.max_attempts, chunk=settings.chunk)
+    state = with_size(lives.state, job_config, settings.default_size)
     now = now_ms(state) if callable(now_ms) else now_ms
     latest = candidates(latest_attempts(state), settings, now, actions)
-    points = recent_points(rows, latest, settings)
-    return decide(latest, points, settings)
-
-
-def _state_with_worker_time(rows: DataFrame) -> DataFrame:
-    """The job state plus the latest event time among messages with a metric."""
-    measured = F.when(F.col("is_worker") & F.col("load").isNotNull(), F.col("ts"))
-    return (
-        rows.filter("live")
-        .groupBy(*LIFE)
-        .agg(
-            F.min("arr").alias("created"),
-            F.min_by("ts", "arr").alias("first_time"),
-            F.max("ts").alias("last_time"),
-            F.max(measured).alias("last_metric"),
-        )
-    )
+    return decide(latest, recent_points(lives.rows, latest, settings), settings)
 
 
 def candidates(

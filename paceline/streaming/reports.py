@@ -1,12 +1,10 @@
 """The driver tables sent through the streaming jobs until all input is used up."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.plans import views
-from paceline.session import shared_dir
+from paceline.session import run_dir
 from paceline.sources.readers import file_stream
 from paceline.streaming.clicks import count_to_files
 from paceline.streaming.scaler import Scaler, StateTables
@@ -14,17 +12,13 @@ from paceline.streaming.scaler import Scaler, StateTables
 ALL_INPUT = {"availableNow": True}
 
 
-def _run_folder(spark: SparkSession) -> str:
-    return f"{shared_dir(spark)}/paceline-run-{uuid.uuid4().hex}"
-
-
 def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return file_stream(spark, f"{folder}/events*.parquet", views.events(spark, folder))
 
 
 def click_count(spark: SparkSession, folder: str) -> DataFrame:
     """Counts of the windows that closed; the last ones still wait for later clicks."""
-    run = _run_folder(spark)
+    run = run_dir(spark)
     # A watermark needs an instant; the tables hold wall-clock times that mean UTC.
     clicks = _event_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
     count_to_files(
@@ -37,7 +31,7 @@ def click_count(spark: SparkSession, folder: str) -> DataFrame:
 
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
     """The action queue after the scaler has read all events as messages."""
-    run = _run_folder(spark)
+    run = run_dir(spark)
     rows = views.events(spark, folder)
     scaler = Scaler(
         StateTables(f"{run}/state"),

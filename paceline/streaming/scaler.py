@@ -20,7 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from paceline.operators.arrival import gate
 from paceline.operators.buckets import bucket, retained
-from paceline.operators.fold import LIFE, with_lives
+from paceline.operators.fold import LIFE, read_lives
 from paceline.operators.state import latest_attempts, with_size
 from paceline.plans.cycle import Enforcer, issue_round, queue_round
 from paceline.plans.evaluate import Now, candidates, decide
@@ -103,17 +103,12 @@ def advance(
 ) -> tuple[DataFrame, DataFrame]:
     """(attempts, points) after a batch of messages whose arrival numbers are higher."""
     old_attempts, old_points = before
-    rows = with_lives(
+    lives = read_lives(
         remembered(old_attempts, batch).unionByName(batch),
         max_attempts=settings.max_attempts,
         chunk=settings.chunk,
-    ).filter("live")
-    now = rows.groupBy(*LIFE).agg(
-        F.min("arr").alias("created"),
-        F.max("arr").alias("last_arr"),
-        F.min_by("ts", "arr").alias("first_time"),
-        F.max("ts").alias("last_time"),
     )
+    now = lives.state
     # The size of a deployment is the one configured when it was first seen.
     known = old_attempts.select("job_id", "attempt_id", "created", F.col("size").alias("_size"))
     sized = with_size(now, job_config, settings.default_size)
@@ -122,7 +117,7 @@ def advance(
     births = now.select(*LIFE, "created")
     attempts = write(sized.withColumn("life", F.col("created")), "attempts")
 
-    counted = gate(rows, LIFE, chunk=settings.chunk)
+    counted = gate(lives.rows.filter("live"), LIFE, chunk=settings.chunk)
     fresh = bucket(counted, keys=LIFE, width_ms=settings.granularity_ms)
     fresh = fresh.join(births, LIFE).withColumn("life", F.col("created")).drop("created")
     kept = old_points.join(attempts.select(*LIFE), LIFE, "left_semi")
