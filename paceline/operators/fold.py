@@ -153,73 +153,103 @@ def _split_by_resets(rows: DataFrame, chunk: int) -> DataFrame:
 def _find_resets(off: DataFrame, chunk: int) -> DataFrame:
     """Disabled messages (job_id, arr, _known) → those that reset their job."""
     rows = off.withColumn("_chunk", chunk_of("arr", chunk))
-    steps = rows.groupBy("job_id", "_chunk").applyInPandas(
-        _summarise, "job_id string, _chunk bigint, above bigint, becomes bigint"
+    part = ["job_id", "_chunk"]
+    steps = (
+        rows.repartition(*part)
+        .sortWithinPartitions(*part, "arr")
+        .select(*part, "arr", "_known")
+        .mapInPandas(_summarise, "job_id string, _chunk bigint, above bigint, becomes bigint")
     )
-    starts = steps.groupBy("job_id").applyInPandas(
-        _join_up, "job_id string, _chunk bigint, _start bigint"
+    starts = (
+        steps.repartition("job_id")
+        .sortWithinPartitions("job_id", "_chunk", F.desc("above"))
+        .mapInPandas(_join_up, "job_id string, _chunk bigint, _start bigint")
     )
     return (
-        rows.join(starts, ["job_id", "_chunk"])
-        .groupBy("job_id", "_chunk")
-        .applyInPandas(_replay, "job_id string, arr bigint")
+        rows.join(starts, part)
+        .repartition(*part)
+        .sortWithinPartitions(*part, "arr")
+        .select(*part, "arr", "_known", "_start")
+        .mapInPandas(_replay, "job_id string, arr bigint")
     )
 
 
-def _summarise(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One chunk as a step function of the last reset before it.
+# The three walks read sorted rows batch by batch and hold a few numbers in between.
 
-    A row (above, becomes) says: a start above ``above`` (and not above the next higher
-    step) ends as ``becomes``. A start above no step stays as it is.
-    """
-    pdf = pdf.sort_values("arr")
-    steps: list[list[int]] = []  # highest `above` first
-    for arr, known in zip(pdf["arr"].tolist(), pdf["_known"].tolist()):
-        for step in steps:
-            if step[1] > known:
-                step[1] = arr
-        if not steps or known < steps[-1][0]:
-            steps.append([known, arr])
-        merged: list[list[int]] = []
-        for step in steps:
-            if merged and merged[-1][1] == step[1]:
-                merged[-1][0] = step[0]
-            else:
-                merged.append(step)
-        steps = merged
-    return pd.DataFrame(
-        {
-            "job_id": pdf["job_id"].iloc[0],
-            "_chunk": pdf["_chunk"].iloc[0],
-            "above": [s[0] for s in steps],
-            "becomes": [s[1] for s in steps],
-        }
-    )
 
+def _lists(pdf: pd.DataFrame) -> Iterator[tuple]:
+    return zip(*(pdf[c].tolist() for c in pdf.columns))
 
-def _join_up(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Last reset at the start of every chunk of one job, from the chunk summaries."""
-    chunks, starts = [], []
-    last = NO_RESET
-    for number, steps in pdf.sort_values("_chunk").groupby("_chunk", sort=True):
-        chunks.append(number)
-        starts.append(last)
-        above = steps[steps["above"] < last]
-        if len(above):
-            last = int(above.loc[above["above"].idxmax(), "becomes"])
-    return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "_chunk": chunks, "_start": starts})
 
+def _frame(rows: list[tuple], *columns: str) -> pd.DataFrame:
+    frame = pd.DataFrame(rows, columns=list(columns))
+    return frame.astype({c: "Int64" for c in columns if c != "job_id" and c != "attempt_id"})
 
-def _replay(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Resets of one chunk, given the last reset before it."""
-    pdf = pdf.sort_values("arr")
-    last = int(pdf["_start"].iloc[0])
-    found = []
-    for arr, known in zip(pdf["arr"].tolist(), pdf["_known"].tolist()):
-        if known < last:
-            last = arr
-            found.append(arr)
-    return pd.DataFrame({"job_id": pdf["job_id"].iloc[0], "arr": found}).astype({"arr": "int64"})
+
+def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Every chunk as a step function of the last reset before it.
+
+    A row (above, becomes) says: a start above ``above`` (and not above the next higher
+    step) ends as ``becomes``. A start above no step stays as it is.
+    """
+    columns = ("job_id", "_chunk", "above", "becomes")
+    part, steps = None, []  # steps: highest `above` first
+    for pdf in batches:
+        out = []
+        for job, number, arr, known in _lists(pdf):
+            if (job, number) != part:
+                out.extend((*part, *step) for step in steps)
+                part, steps = (job, number), []
+            for step in steps:
+                if step[1] > known:
+                    step[1] = arr
+            if not steps or known < steps[-1][0]:
+                steps.append([known, arr])
+            if len(steps) > 1:
+                steps = _merge(steps)
+        yield _frame(out, *columns)
+    yield _frame([(*part, *step) for step in steps], *columns)
+
+
+def _merge(steps: list[list[int]]) -> list[list[int]]:
+    """Neighbouring steps with the same outcome as one."""
+    merged = steps[:1]
+    for step in steps[1:]:
+        if merged[-1][1] == step[1]:
+            merged[-1][0] = step[0]
+        else:
+            merged.append(step)
+    return merged
+
+
+def _join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The last reset at the start of every chunk, from the chunk summaries of each job."""
+    part, start, last = (None, None), NO_RESET, NO_RESET
+    for pdf in batches:
+        out = []
+        for job, number, above, becomes in _lists(pdf):
+            if (job, number) != part:
+                start = last = last if job == part[0] else NO_RESET
+                part = (job, number)
+                out.append((job, number, start))
+            # The highest step below the start applies; the others come after it.
+            if last == start and above < start:
+                last = becomes
+        yield _frame(out, "job_id", "_chunk", "_start")
+
+
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Resets of every chunk, given the last reset before it."""
+    part, last = None, NO_RESET
+    for pdf in batches:
+        found = []
+        for job, number, arr, known, start in _lists(pdf):
+            if (job, number) != part:
+                part, last = (job, number), start
+            if known < last:
+                last = arr
+                found.append((job, arr))
+        yield _frame(found, "job_id", "arr")
 
 
 # --- eviction ----------------------------------------------------------------------
@@ -270,12 +300,13 @@ def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
     cut = cut.withColumn("_run", F.sum(F.col("_first").cast("int")).over(order))
     runs = cut.filter("_first").select("job_id", "_chunk", "_run", "arr", "attempt_id", "enabled")
 
+    columns = ("job_id", "_chunk", "_run", "attempt_id", "life")
+
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         job, known = None, {}
         for pdf in batches:
             out = []
-            for row in pdf.itertuples(index=False):
-                row_job, row_chunk, row_run, arr, attempt, enabled = row
+            for row_job, number, run, arr, attempt, enabled in _lists(pdf):
                 if row_job != job:
                     out.extend((job, None, None, a, born) for a, born in known.items())
                     job, known = row_job, {}
@@ -286,9 +317,9 @@ def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
                     known[attempt] = arr
                     if len(known) > max_attempts:
                         del known[next(iter(known))]
-                out.append((job, row_chunk, row_run, attempt, known[attempt]))
-            yield _run_frame(out)
-        yield _run_frame([(job, None, None, a, born) for a, born in known.items()])
+                out.append((job, number, run, attempt, known[attempt]))
+            yield _frame(out, *columns)
+        yield _frame([(job, None, None, a, born) for a, born in known.items()], *columns)
 
     lives = saved(
         runs.repartition("job_id")
@@ -306,7 +337,3 @@ def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
         .select(*rows.columns, "life", "live")
     )
 
-
-def _run_frame(rows: list[tuple]) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=["job_id", "_chunk", "_run", "attempt_id", "life"])
-    return frame.astype({"_chunk": "Int64", "_run": "Int64", "life": "Int64"})

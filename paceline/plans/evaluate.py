@@ -14,6 +14,7 @@ from paceline.operators.buckets import bucket, is_valid_window
 from paceline.operators.fold import LIFE, read_lives
 from paceline.operators.state import latest_attempts, with_size
 from paceline.plans.policies import Policy, Settings
+from paceline.session import saved
 
 Now = int | Column | Callable[[DataFrame], Column]
 
@@ -33,7 +34,9 @@ def evaluate(
     lives = read_lives(messages, max_attempts=settings.max_attempts, chunk=settings.chunk)
     state = with_size(lives.state, job_config, settings.default_size)
     now = now_ms(state) if callable(now_ms) else now_ms
-    latest = candidates(latest_attempts(state), settings, now, actions)
+    # One row per job. Its true size decides whether the messages, which are joined with it
+    # twice, stay where they are or are shuffled.
+    latest = saved(candidates(latest_attempts(state), settings, now, actions))
     return decide(latest, recent_points(lives.rows, latest, settings), settings)
 
 
@@ -57,19 +60,38 @@ def recent_points(rows: DataFrame, latest: DataFrame, settings: Settings) -> Dat
     """Metric points of the candidates, as far back as a policy looks.
 
     The event-time gate drops a row for an earlier row with a later time, so rows before
-    a time bound never matter to rows after it. When the latest message of an attempt
-    carries a metric, the window must end in its bucket and older rows can be left out
-    before the gate shuffles anything. Otherwise the bound is unknown and all rows stay.
+    a time bound never matter to rows after it, and older rows can be left out before the
+    gate shuffles anything. A window ends at the last metric that counts, which is close
+    to the last message. So a tail of twice the reach is read first, and its lowest start
+    is a plain filter that reaches the scan: a long history is not even read. Attempts
+    whose window does not lie inside their tail are read again in full.
     """
     width = settings.granularity_ms
     reach = max(whole_buckets(p.window_ms, width) for p in settings.policies)
-    bound = F.when(
-        F.col("last_metric") == F.col("last_time"), bucket_start(F.col("last_time"), width) - reach
-    )
-    wanted = latest.select(*LIFE, bound.alias("_from"))
-    needed = rows.filter("live").join(wanted, LIFE)
-    needed = needed.filter(F.col("_from").isNull() | (F.col("ts") >= F.col("_from"))).drop("_from")
-    return bucket(gate(needed, LIFE, chunk=settings.chunk), keys=LIFE, width_ms=width)
+    start = bucket_start(F.col("last_time"), width) - 2 * reach - width
+    wanted = latest.select(*LIFE, "first_time", "last_metric", start.alias("_from"))
+    wanted = wanted.filter(F.col("last_metric").isNotNull())
+    lowest = wanted.agg(F.min("_from")).first()[0]
+    if lowest is None:
+        return _points(rows.limit(0), settings)
+
+    live = rows.filter("live")
+    tail = live.filter(F.col("ts") >= lowest).join(wanted.select(*LIFE, "_from"), LIFE)
+    found = saved(_points(tail.filter(F.col("ts") >= F.col("_from")).drop("_from"), settings))
+    ends = found.groupBy(*LIFE).agg(F.max("bucket").alias("_end"))
+    covered = (F.col("first_time") >= F.col("_from")) | (F.col("_end") - reach >= F.col("_from"))
+    missed = wanted.join(ends, LIFE, "left").filter(~F.coalesce(covered, F.lit(False)))
+    missed = missed.select(*LIFE)
+    if missed.isEmpty():
+        return found
+    missed = saved(missed)
+    again = _points(live.join(missed, LIFE, "left_semi"), settings)
+    return found.join(missed, LIFE, "left_anti").unionByName(again)
+
+
+def _points(rows: DataFrame, settings: Settings) -> DataFrame:
+    counted = gate(rows, LIFE, chunk=settings.chunk)
+    return bucket(counted, keys=LIFE, width_ms=settings.granularity_ms)
 
 
 def window_columns(points: DataFrame, settings: Settings) -> DataFrame:
