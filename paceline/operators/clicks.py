@@ -14,17 +14,18 @@ def click_counts(
     page: str = "page",
     window: str = WINDOW,
     watermark: str | None = WATERMARK,
-    spread_by: str | None = None,
+    spread: int | None = None,
 ) -> DataFrame:
     """Count per (page, window); windows are epoch-aligned and half-open.
 
     ``time`` may name an ingestion-time column for processing-time counts. A stream drops
-    rows that come later than the watermark. ``spread_by`` re-partitions before the count,
-    which only pays off when the input is badly split.
+    rows that come later than the watermark. ``spread`` deals the rows out evenly to that
+    many tasks first, which only pays off when the input is badly split; it is not by page,
+    because one page may hold a large part of the clicks.
     """
     rows = clicks.withWatermark(time, watermark) if clicks.isStreaming and watermark else clicks
-    if spread_by:
-        rows = rows.repartition(spread_by)
+    if spread:
+        rows = rows.repartition(spread)
     counted = rows.groupBy(F.window(time, window).alias("w"), F.col(page).alias("page")).agg(
         F.count(F.lit(1)).alias("count")
     )

@@ -181,6 +181,25 @@ def test_evaluate_equals_the_model(spark, seed, off, chunk):
     assert len({kind for _, kind, _ in expected.values()}) == 2
 
 
+def test_a_window_far_before_the_last_message_is_found(spark):
+    """Long after its last metric a deployment still sends other messages."""
+    rows, arr = [], 0
+    for job, quiet_minutes in (("near", 0), ("far", 90), ("none", 90)):
+        for minute in range(40 + quiet_minutes):
+            arr += 1
+            rows.append(
+                dict(arr=arr, job_id=job, attempt_id="a", container="c", enabled=True,
+                     ts=T0 + minute * MINUTE_MS, load=9.0,
+                     is_worker=minute < 40 and job != "none")
+            )
+    made = Settings(policies=POLICIES, limits=CoreLimits(50, 500), default_size=JobSize(1, 5, 1))
+    now = T0 + 130 * MINUTE_MS
+    made = replace(made, max_staleness_ms=10**9)
+    found = evaluate(frame(spark, rows), made, now).collect()
+    assert {r.job_id for r in found} == {"near", "far"}
+    assert evaluate(frame(spark, rows).filter("job_id = 'none'"), made, now).isEmpty()
+
+
 def test_bucket_vectors(spark):
     rows = frame(
         spark,

@@ -30,7 +30,7 @@ def test_closed_form_of_the_click_generator(spark):
             (F.col("id") % 6 + 1).cast("int"),
         ).alias("page"),
     )
-    counts = click_counts(clicks, spread_by="page").collect()
+    counts = click_counts(clicks, spread=4).collect()
     assert len(counts) == 18 and {r["count"] for r in counts} == {1000}
     assert {r.window_end.timestamp() - r.window_start.timestamp() for r in counts} == {15}
 
