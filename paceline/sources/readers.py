@@ -8,11 +8,6 @@ from paceline.functions.rows import compute_once
 from paceline.functions.times import CLICK_PATTERN, parse_click_time
 from paceline.schemas import CLICK_JSON, DIAGNOSTICS_JSON, JOB_CONFIG
 
-# Default topics.
-CLICK_TOPIC = "input"
-STATISTICS_TOPIC = "output"
-DIAGNOSTICS_TOPIC = "flink-metrics"
-
 
 def bus_stream(
     spark: SparkSession, servers: str, topic: str, *, starting: str = "latest", **options

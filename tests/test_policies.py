@@ -58,7 +58,7 @@ def test_scale_up_vectors(spark):
             "test-below": (10, 19.9),
             "test-above": (10, 20.1),
             "test-capped": (10, 51.0),
-            "samza-prod-job": (10, 30.0),
+            "prod-job": (10, 30.0),
             "test-no-window": (10, None),
             "test-nan": (10, math.nan),
         },
