@@ -132,22 +132,24 @@ def _unusual_lives(
 def _split_by_resets(rows: DataFrame, chunk: int) -> DataFrame:
     """Rows with ``life`` = the last reset before them; reset messages are dropped."""
     seen = running(rows, ATTEMPT, F.when(F.col("enabled"), F.col("arr")), "_known", chunk=chunk)
-    seen = seen.withColumn("_known", F.coalesce("_known", F.lit(NEVER)))
-    off = seen.filter(~F.col("enabled")).select("job_id", "arr", "_known")
+    off = seen.filter(~F.col("enabled")).select(
+        "job_id", "arr", F.coalesce("_known", F.lit(NEVER)).alias("_known")
+    )
     resets = saved(_find_resets(saved(off), chunk))
 
-    marks = resets.select("job_id", "arr").withColumn("_mark", F.lit(True))
-    marked = seen.withColumn("_mark", F.lit(False)).unionByName(marks, allowMissingColumns=True)
-    timed = running(
-        marked, ["job_id"], F.when(F.col("_mark"), F.col("arr")), "life", chunk=chunk
+    # A mark goes right before the message that resets, so that message finds itself.
+    marks = resets.select("job_id", "arr", (F.col("arr") * 2).alias("_place"))
+    placed = rows.withColumn("_place", F.col("arr") * 2 + 1)
+    both = placed.withColumn("_mark", F.lit(False)).unionByName(
+        marks.withColumn("_mark", F.lit(True)), allowMissingColumns=True
     )
+    mark = F.when(F.col("_mark"), F.col("arr"))
+    timed = running(both, ["job_id"], mark, "life", arr="_place", chunk=2 * chunk)
     timed = timed.filter(~F.col("_mark")).withColumn("life", F.coalesce("life", F.lit(NO_RESET)))
-    is_reset = ~F.col("enabled") & (F.col("_known") < F.col("life"))
-    last = resets.groupBy("job_id").agg(F.max("arr").alias("_last_reset"))
-    kept = timed.filter(~is_reset).join(last, "job_id", "left")
-    return kept.withColumn(
-        "live", F.col("life") == F.coalesce("_last_reset", F.lit(NO_RESET))
-    ).select(*rows.columns, "life", "live")
+    last = resets.groupBy("job_id").agg(F.max("arr").alias("_last"))
+    kept = timed.filter(F.col("life") != F.col("arr")).join(last, "job_id", "left")
+    live = F.col("life") == F.coalesce("_last", F.lit(NO_RESET))
+    return kept.withColumn("live", live).select(*rows.columns, "life", "live")
 
 
 def _find_resets(off: DataFrame, chunk: int) -> DataFrame:
