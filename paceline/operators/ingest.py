@@ -48,12 +48,14 @@ def read_load(tree: Column, *, skip_missing: bool = False) -> Column:
 def parse_messages(envelopes: DataFrame, *, skip_missing: bool = False) -> DataFrame:
     """Envelopes with an arrival number ``arr`` → message rows plus ``reason``.
 
-    ``metricsSnapshot`` is the metric tree as a variant. ``reason`` is null for a usable row; :func:`split_rejects` uses it.
+    ``metricsSnapshot`` is the metric tree as a variant. ``reason`` is null for a usable
+    row; :func:`split_rejects` uses it.
     """
     used = {"arr", "metricHeader", "metricsSnapshot", "autoScalingEnabled", "timestamp"}
     extra = [c for c in envelopes.columns if c not in used]
     tree = F.col("metricsSnapshot")
-    rows = project_header(envelopes).withColumn("_worker", sub_group(tree, WORKER_GROUP).isNotNull())
+    is_worker = sub_group(tree, WORKER_GROUP).isNotNull()
+    rows = project_header(envelopes).withColumn("_worker", is_worker)
     load = F.when(F.col("_worker"), read_load(tree, skip_missing=skip_missing))
     fields = F.struct(
         "job_id",

@@ -34,9 +34,8 @@ def current_metrics(log: DataFrame, keys: list[str]) -> DataFrame:
     last = log.groupBy(*keys, "path", "name").agg(
         F.max_by(F.struct("op", "kind", "value"), "seq").alias("_last")
     )
-    return last.filter(F.col("_last.op") == "add").select(
-        *keys, "path", "name", F.col("_last.kind").alias("kind"), F.col("_last.value").alias("value")
-    )
+    present = last.filter(F.col("_last.op") == "add")
+    return present.select(*keys, "path", "name", "_last.kind", "_last.value")
 
 
 def known_groups(log: DataFrame, keys: list[str]) -> DataFrame:

@@ -441,7 +441,8 @@ def _registry(spark, folder):
 @query
 def scope_paths(spark, folder):
     rows = _registry(spark, folder)[0]
-    return rows.select("seq", "scope", F.array_join("path", "/").alias("path"), F.size("path").alias("n"))
+    text = F.array_join("path", "/").alias("path")
+    return rows.select("seq", "scope", text, F.size("path").alias("n"))
 
 
 @query

@@ -45,9 +45,10 @@ def candidates(
 ) -> DataFrame:
     """Latest attempts that some policy may act on, found before any metric is read."""
     now = F.lit(now_ms) if isinstance(now_ms, int) else now_ms
-    allowed = reduce(Column.__or__, [full_match(F.col("job_id"), p.allow) for p in settings.policies])
+    job = F.col("job_id")
+    allowed = reduce(Column.__or__, [full_match(job, p.allow) for p in settings.policies])
     kept = latest.filter(
-        ~full_match(F.col("job_id"), settings.deny)
+        ~full_match(job, settings.deny)
         & allowed
         & (now - F.col("last_time") <= settings.max_staleness_ms)
     )

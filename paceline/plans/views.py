@@ -208,10 +208,11 @@ def tree_json() -> Column:
 
     Workers report under ``taskmanager``; some have no CPU group, some no readable load.
     """
+    reading = F.concat(F.lit('"Load":"'), F.col("value").cast("string"), F.lit('",'))
     load = (
         F.when(F.col("event_id") % 13 == 0, F.lit('"Time":"-1.0"'))
         .when(F.col("event_id") % 14 == 0, F.lit('"Load":"oops","Time":"-1.0"'))
-        .otherwise(F.concat(F.lit('"Load":"'), F.col("value").cast("string"), F.lit('","Time":"-1.0"')))
+        .otherwise(F.concat(reading, F.lit('"Time":"-1.0"')))
     )
     group = F.when(F.col("event_id") % 11 == 0, F.lit('"Heap":{"Used":"1"}')).otherwise(
         F.concat(F.lit('"CPU":{'), load, F.lit("}"))

@@ -3,9 +3,15 @@
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from itertools import count
 
 from pyspark.sql import DataFrame, SparkSession
 
+_place: ContextVar[tuple[str, Iterator[int]] | None] = ContextVar("place", default=None)
+
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin the session zone: every epoch-millis column in this package means UTC."""
@@ -39,11 +45,22 @@ def saved(rows: DataFrame) -> DataFrame:
     checkpoint, the planner knows the true size of what it reads, so it broadcasts the
     table only when it is small.
     """
-    path = f"{run_dir(rows.sparkSession)}/rows"
-    rows.write.parquet(path)
+    place = _place.get()
+    path = f"{place[0]}/{next(place[1])}" if place else f"{run_dir(rows.sparkSession)}/rows"
+    rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+@contextmanager
+def saving_to(folder: str) -> Iterator[None]:
+    """Let :func:`saved` write below this folder, over what an earlier run left there."""
+    token = _place.set((folder, count()))
+    try:
+        yield
+    finally:
+        _place.reset(token)
+
+
 def run_dir(spark: SparkSession) -> str:
     """A new folder below the shared one."""
     return f"{shared_dir(spark)}/paceline-{uuid.uuid4().hex}"

@@ -26,6 +26,7 @@ from paceline.plans.cycle import Enforcer, issue_round, queue_round
 from paceline.plans.evaluate import Now, candidates, decide
 from paceline.plans.policies import Settings
 from paceline.schemas import JOB_SIZE, SIZING_ACTIONS
+from paceline.session import saving_to
 
 # `life` of a remembered attempt is the arrival number of its first message.
 ATTEMPTS = T.StructType(
@@ -62,6 +63,10 @@ class StateTables:
     def _path(self, name: str, step: int) -> str:
         return f"{self.root}/{name}/slot={step % self.slots}"
 
+    def scratch(self, step: int) -> str:
+        """Folder for intermediate tables of a step; used again when the ring comes round."""
+        return self._path("scratch", step)
+
     def read(self, spark: SparkSession, name: str, step: int) -> DataFrame:
         """Table after a step; before the first step it is empty."""
         if step < 0:
@@ -139,6 +144,10 @@ class Scaler:
     last_step: int = -1
 
     def step(self, batch: DataFrame, step: int) -> None:
+        with saving_to(self.tables.scratch(step)):
+            self._step(batch, step)
+
+    def _step(self, batch: DataFrame, step: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
         try:

@@ -75,3 +75,25 @@ def test_messages_are_shuffled_once_for_the_gate(spark):
     # One exchange of the rows, two of the small chunk table.
     assert physical.count("Exchange hashpartitioning") == 3
     assert views.events(spark, FOLDER).count() == 1000
+
+
+def test_evaluation_reads_only_recent_messages(spark, tmp_path, monkeypatch):
+    """The lowest time bound of the candidates is pushed down to the message files."""
+    from paceline.plans import evaluate as evaluation
+
+    path = str(tmp_path / "messages")
+    views.messages(views.events(spark, FOLDER)).write.parquet(path)
+    plans = []
+
+    def spy(rows):
+        plans.append(_plan(rows)[1])
+        return saved(rows)
+
+    saved = evaluation.saved
+    monkeypatch.setattr(evaluation, "saved", spy)
+    messages = spark.read.parquet(path)
+    evaluation.evaluate(messages, views.SETTINGS, views.latest_time).collect()
+    tail = next(p for p in plans if "Window" in p)
+    assert "GreaterThanOrEqual(ts," in tail
+    assert "BroadcastHashJoin" in tail  # the candidates are few, by their measured size
+    assert "container" not in tail and "enabled" not in tail

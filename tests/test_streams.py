@@ -77,6 +77,7 @@ def test_scaler_state_after_many_batches(spark, tmp_path, seed, off, max_attempt
         if step == 2:
             scaler.step(batch, step)  # run again after a failure
 
+    assert len(list((tmp_path / "state" / "scratch").iterdir())) == 2
     _, jobs = model.read(rows, max_attempts=max_attempts, length_ms=300_000)
     attempts = scaler.tables.read(spark, "attempts", scaler.last_step).collect()
     assert {(r.job_id, r.attempt_id, r.created, r.first_time, r.last_time) for r in attempts} == {
