@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 # Fixed value: characters a scope component may keep.
 SCOPE_UNSAFE = "[^a-zA-Z0-9:_]"
+SCOPE_UNSAFE_OR_DOT = "[^a-zA-Z0-9:_.]"  # the same, with the separator let through
 
 
 def is_blank(c: Column) -> Column:
@@ -24,11 +25,16 @@ def sanitise(c: Column) -> Column:
 
 def scope_path(scope: Column) -> Column:
     """Dotted scope → array of clean components; trailing empty components vanish."""
-    trimmed = F.regexp_replace(scope, r"\.+$", "")
-    parts = F.transform(F.split(trimmed, r"\.", -1), sanitise)
+    trimmed = F.rtrim(scope, F.lit("."))
+    parts = F.split(F.regexp_replace(trimmed, SCOPE_UNSAFE_OR_DOT, "_"), r"\.", -1)
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(parts)
 
 
+def has_scope(scope: Column) -> Column:
+    """True when the scope names at least one component."""
+    return F.coalesce(F.rtrim(scope, F.lit(".")) != "", F.lit(False))
+
+
 def label(header: Column, name: str) -> Column:
     """Value of one label; null when the label is absent."""
     return F.try_element_at(header, F.lit(name))

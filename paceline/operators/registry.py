@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paceline.functions.text import is_blank, scope_path
+from paceline.functions.text import has_scope, scope_path
 from paceline.operators.tree import build_tree
 
 # Fixed value: the metric kinds a snapshot carries.
@@ -12,11 +12,9 @@ SNAPSHOT_KINDS = ("counter", "gauge")
 
 def split_scopes(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows with a ``path``, rows whose scope names no group)."""
-    path = F.when(is_blank(F.col("scope")), F.array().cast("array<string>")).otherwise(
-        scope_path(F.col("scope"))
-    )
-    rows = log.withColumn("path", path)
-    return rows.filter(F.size("path") > 0), rows.filter(F.size("path") == 0).drop("path")
+    named = has_scope(F.col("scope"))
+    usable = log.filter(named).withColumn("path", scope_path(F.col("scope")))
+    return usable, log.filter(~named)
 
 
 def snapshot_kinds(log: DataFrame) -> DataFrame:
