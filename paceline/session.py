@@ -1,6 +1,5 @@
 """Session preparation, and tables that cut lineage."""
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -20,22 +19,24 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors can reach, as the cluster names it.
+    """The folder all executors can reach, as the cluster names it in ``spark.checkpoint.dir``.
 
-    Only when ``spark.checkpoint.dir`` is unset (plain test sessions) a new local
-    folder is made and used for the rest of the session.
+    A session without executors of its own (master ``local``) may leave it unset and gets a
+    new local folder for the rest of the session. On a cluster that raises: each executor
+    would write to its own disk, and rows would be lost.
     """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
         "spark.checkpoint.dir", None
     )
     if named:
-        return named
-    current = spark.sparkContext.getCheckpointDir()
-    if current:
-        return os.path.dirname(current)
-    made = tempfile.mkdtemp(prefix="paceline-")
-    spark.sparkContext.setCheckpointDir(made)
-    return made
+        return named.rstrip("/")
+    if context.getCheckpointDir():
+        return context.getCheckpointDir().rpartition("/")[0]
+    if not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="paceline-"))
+    return context.getCheckpointDir().rpartition("/")[0]
 
 
 def saved(rows: DataFrame) -> DataFrame:
@@ -61,6 +62,31 @@ def saving_to(folder: str) -> Iterator[None]:
         _place.reset(token)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """One folder for all tables that are saved inside, removed at the end.
+
+    Results read from those tables, so write or collect them before the block ends.
+    """
+    folder = f"{session_dir(spark)}/{uuid.uuid4().hex}"
+    try:
+        with saving_to(folder):
+            yield folder
+    finally:
+        remove(spark, folder)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder in whatever store it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application below the shared one."""
+    return f"{shared_dir(spark)}/paceline-{spark.sparkContext.applicationId}"
+
+
 def run_dir(spark: SparkSession) -> str:
-    """A new folder below the shared one."""
-    return f"{shared_dir(spark)}/paceline-{uuid.uuid4().hex}"
+    """A new folder below that of the application."""
+    return f"{session_dir(spark)}/{uuid.uuid4().hex}"
