@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, counterparts, decontaminate, langid
+from paceline.llm import chat, counterparts, decontaminate, langid, secrets
 from paceline.session import prepare
 
 
@@ -24,6 +24,11 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.formatted(table(spark, folder, "conversations"))
 
 
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return secrets.digest(secrets.scan(docs))
+
+
 def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.contamination(docs, items).drop("spans")
@@ -32,6 +37,7 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op3_chat_format": chat_format,
+    "op5_secret_scan": secret_scan,
     "op10_decontaminate": benchmark_hits,
 }
 
