@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, counterparts, decontaminate, langid, secrets
+from paceline.llm import chat, counterparts, decontaminate, langid, main_text, secrets
 from paceline.session import prepare
 
 
@@ -29,6 +29,10 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs))
 
 
+def page_text(spark: SparkSession, folder: str) -> DataFrame:
+    return main_text.extract(table(spark, folder, "pages"))
+
+
 def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     docs, items = table(spark, folder, "documents"), table(spark, folder, "benchmark")
     return decontaminate.contamination(docs, items).drop("spans")
@@ -38,6 +42,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op3_chat_format": chat_format,
     "op5_secret_scan": secret_scan,
+    "op9_main_text": page_text,
     "op10_decontaminate": benchmark_hits,
 }
 
