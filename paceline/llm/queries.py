@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, counterparts, decontaminate, langid, main_text, secrets
+from paceline.llm import chat, counterparts, decontaminate, langid, main_text, near_join, secrets
 from paceline.session import prepare
 
 
@@ -20,6 +20,10 @@ def language_id(spark: SparkSession, folder: str) -> DataFrame:
     return langid.predict(asked, model).drop("text")
 
 
+def similar_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return near_join.near_join(table(spark, folder, "documents"))
+
+
 def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.formatted(table(spark, folder, "conversations"))
 
@@ -40,6 +44,7 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
+    "op2_near_join": similar_documents,
     "op3_chat_format": chat_format,
     "op5_secret_scan": secret_scan,
     "op9_main_text": page_text,
