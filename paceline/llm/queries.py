@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, counterparts, decontaminate, langid, main_text, near_join, secrets
+from paceline.llm import chat, counterparts, decontaminate, hnsw, langid, main_text, near_join, secrets
 from paceline.session import prepare
 
 
@@ -33,6 +33,11 @@ def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.digest(secrets.scan(docs))
 
 
+def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return hnsw.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
 
@@ -47,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_join": similar_documents,
     "op3_chat_format": chat_format,
     "op5_secret_scan": secret_scan,
+    "op6_nearest_vectors": nearest_vectors,
     "op9_main_text": page_text,
     "op10_decontaminate": benchmark_hits,
 }
