@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, counterparts, decontaminate, hnsw, langid, main_text, near_join, secrets
+from paceline.llm import chat, counterparts, decontaminate, hnsw, langid, main_text, near_join, repeats, secrets
 from paceline.session import prepare
 
 
@@ -28,6 +28,17 @@ def chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.formatted(table(spark, folder, "conversations"))
 
 
+def repeated_bytes(spark: SparkSession, folder: str) -> DataFrame:
+    kept = repeats.without_repeats(table(spark, folder, "documents"))
+    return kept.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return secrets.digest(secrets.scan(docs))
@@ -51,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op2_near_join": similar_documents,
     "op3_chat_format": chat_format,
+    "op4_repeated_bytes": repeated_bytes,
     "op5_secret_scan": secret_scan,
     "op6_nearest_vectors": nearest_vectors,
     "op9_main_text": page_text,
