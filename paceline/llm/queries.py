@@ -5,7 +5,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paceline.llm import chat, counterparts, decontaminate, hnsw, langid, main_text, near_join, repeats, secrets
+from paceline.llm import (
+    chat,
+    counterparts,
+    decontaminate,
+    hnsw,
+    langid,
+    licenses,
+    main_text,
+    mixing,
+    near_join,
+    repeats,
+    secrets,
+)
 from paceline.session import prepare
 
 
@@ -49,6 +61,17 @@ def nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.neighbours(vectors, vectors.where("vec_id % 100 = 0"))
 
 
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as files: a directory for each source, and one below it for 50 ids."""
+    docs = table(spark, folder, "documents")
+    path = F.concat_ws("/", "source", F.floor(F.col("doc_id") / 50).cast("string"), F.col("doc_id").cast("string"))
+    return licenses.licensed(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def mixing_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.rates(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def page_text(spark: SparkSession, folder: str) -> DataFrame:
     return main_text.extract(table(spark, folder, "pages"))
 
@@ -65,6 +88,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_repeated_bytes": repeated_bytes,
     "op5_secret_scan": secret_scan,
     "op6_nearest_vectors": nearest_vectors,
+    "op7_license_scan": license_scan,
+    "op8_mixing_rates": mixing_rates,
     "op9_main_text": page_text,
     "op10_decontaminate": benchmark_hits,
 }
