@@ -58,6 +58,10 @@ class Automaton:
             matcher.make_automaton()
         return cls(matcher, tuple(tuple(sorted(x)) for x in owners.values()))
 
+    def hit(self, text: str | None) -> bool:
+        """Whether any window occurs."""
+        return bool(self.items) and any(True for _ in self.matcher.iter(joined(text)))
+
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set[str]]:
         """Number of words, hit runs of words (end exclusive), items with occurring windows."""
         line = joined(text)
@@ -139,6 +143,21 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFram
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of docs, with all their columns, in which no window of an item occurs."""
+    shared, at = (
+        docs.sparkSession.sparkContext.broadcast(automaton(items, size)),
+        docs.columns.index("text"),
+    )
+
+    def keep(batches):
+        for batch in batches:
+            texts = batch.column(at).to_pylist()
+            yield batch.filter(pa.array([not shared.value.hit(t) for t in texts], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def original(text: str, runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Runs of words as ranges of the text they were read from."""
     spans, words = [], enumerate(WORD.finditer(text))
