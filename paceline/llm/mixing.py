@@ -28,7 +28,7 @@ class Settings:
         default_factory=lambda: {"good": 0.8, "poor": 0.15, "toxic": 0.05}
     )
     labelled: int = 20_000
-    buckets: int = 4096
+    buckets: int = 16_384
     smoothing: float = 0.5
     max_domains: int = 64
     steps: int = 40
@@ -141,31 +141,48 @@ def stepped(steps: list[list[float]]) -> Column:
 def solve(scored: DataFrame, wanted: list[float], settings: Settings) -> list[list[float]]:
     """Steps of the projected gradient; scored is (n_tokens, domains), wanted the tokens.
 
-    The error is measured in the metric of the inverse Gram matrix of the documents' expected
-    tokens: there a step of size 1 is safe and, without the bound at 0, exact. It stops when no
-    domain is off by more than the tolerance's share of all tokens, or nothing moves any more.
+    The error is measured in the metric of the inverse Gram matrix of the expected tokens: there
+    a step of size 1 is safe and, without the bound at 0, exact. The matrix is that of the
+    documents off the bound, which takes few steps, until a step once fails to lower the error;
+    from then on it is that of all documents. It stops when no domain is off by more than the
+    tolerance's share of all tokens, or nothing moves any more.
     """
-    size = len(wanted)
-
-    def part(k: int) -> Column:
-        return F.col("n_tokens") * F.get("domains", F.lit(k))
-
-    gram = scored.agg(
-        *(F.sum(part(i) * part(j)).alias(f"g{i}_{j}") for i in range(size) for j in range(i + 1))
-    ).first()
-    matrix = np.zeros((size, size))
-    for i in range(size):
-        for j in range(i + 1):
-            matrix[i, j] = matrix[j, i] = gram[f"g{i}_{j}"] or 0.0
-    inverse, steps, before = np.linalg.pinv(matrix, hermitian=True), [], None
-    for _ in range(settings.steps):
+    size, free = len(wanted), True
+    steps: list[list[float]] = []
+    before = whole = None
+    for _ in range(settings.steps + 1):
         rate = stepped(steps)
-        totals = scored.agg(*(F.sum(part(k) * rate).alias(f"t{k}") for k in range(size))).first()
-        error = np.array([totals[f"t{k}"] or 0.0 for k in range(size)]) - np.array(wanted)
+        parts = [F.col("n_tokens") * F.get("domains", F.lit(k)) for k in range(size)]
+        rated = scored.select(rate.alias("rate"), *(p.alias(f"p{k}") for k, p in enumerate(parts)))
+        kept = F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
+        sums = rated.agg(
+            *(F.sum(F.col(f"p{k}") * F.col("rate")).alias(f"t{k}") for k in range(size)),
+            *(
+                F.sum(F.col(f"p{i}") * F.col(f"p{j}") * kept).alias(f"g{i}_{j}")
+                for i in range(size)
+                for j in range(i + 1)
+            ),
+        ).first()
+        gram = np.zeros((size, size))
+        for i in range(size):
+            for j in range(i + 1):
+                gram[i, j] = gram[j, i] = sums[f"g{i}_{j}"] or 0.0
+        whole = gram if whole is None else whole
+        error = np.array([sums[f"t{k}"] or 0.0 for k in range(size)]) - np.array(wanted)
         off = float(np.abs(error).max()) if size else 0.0
-        if off <= settings.tolerance * sum(wanted) or before is not None and off >= before * (1 - 1e-9):
+        if off <= settings.tolerance * sum(wanted):
             break
-        before = off
+        if before is not None and off >= before * (1 - 1e-9):
+            if not free:
+                break
+            free = False
+            steps.pop()
+            error = last
+        else:
+            before, last = off, error
+        if len(steps) == settings.steps:
+            break
+        inverse = np.linalg.pinv(gram if free else whole, hermitian=True)
         steps.append([float(x) for x in inverse @ error])
     return steps
 
