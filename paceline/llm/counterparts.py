@@ -50,3 +50,119 @@ select d.doc_id, len(d.w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_it
   sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from d left join words using (doc_id) left join found using (doc_id)
 """
+
+SIMILAR = """
+with recursive d as (
+  select doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}]+') as w from documents
+), s as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as x
+  from d, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as t(i) where len(w) > 0
+), n as (
+  select doc_id, count(*) as n from s group by doc_id
+), common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from s a join s b on a.x = b.x and a.doc_id <> b.doc_id group by all
+), links as (
+  select a, b from common join n na on na.doc_id = a join n nb on nb.doc_id = b
+  where c / (na.n + nb.n - c) >= 0.8
+), reached as (
+  select doc_id as a, doc_id as b from documents
+  union
+  select r.a, l.b from reached r join links l on l.a = r.b
+)
+select d.doc_id, r.class_id, coalesce(l.n_links, 0) as n_links
+from documents d
+join (select a, min(b) as class_id from reached group by a) r on r.a = d.doc_id
+left join (select a, count(*) as n_links from links group by a) l on l.a = d.doc_id
+"""
+
+REPEATED = """
+with d as (
+  select doc_id, hex(encode(coalesce(text, ''))) as h from documents
+), parts as (  -- 400 strings each, as finding a place in a long text takes long
+  select doc_id, 400 * c as place, substr(h, 800 * c + 1, 898) as p
+  from d, unnest(range(0, (len(h) // 2 - 49 + 399) // 400)) as t(c) where len(h) >= 100
+), strings as (
+  select doc_id, place + i as i, substr(p, 2 * i + 1, 100) as s
+  from parts, unnest(range(0, len(p) // 2 - 49)) as t(i)
+), firsts as (
+  select s, min(doc_id) as first from strings group by s
+), gone as (
+  select doc_id, i from strings join firsts using (s) where first < doc_id
+), marked as (
+  select doc_id, i, i - coalesce(lag(i) over (partition by doc_id order by i), -51) > 50 as fresh from gone
+), runs as (
+  select doc_id, i, sum(fresh::int) over (partition by doc_id order by i) as run from marked
+), spans as (
+  select doc_id, min(i) as a, max(i) + 50 as b from runs group by doc_id, run
+), pieces as (
+  select doc_id, a, h[2 * coalesce(lag(b) over (partition by doc_id order by a), 0) + 1:2 * a] as piece, b,
+    row_number() over (partition by doc_id order by a desc) as back, h
+  from spans join d using (doc_id)
+), kept as (
+  select doc_id, string_agg(piece || case when back = 1 then h[2 * b + 1:] else '' end, '' order by a) as k,
+    sum(b - a) as n_removed, count(*) as n_spans
+  from pieces group by doc_id
+)
+select d.doc_id, len(d.h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed,
+  coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, d.h))) as kept_sha256
+from d left join kept using (doc_id)
+"""
+
+
+def licenses_sql(templates, anchors: str, terms: str) -> str:
+    """The license scan over documents, with the same templates."""
+    values = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(templates))
+    return f"""
+with files as (
+  select doc_id, source || '/' || cast(doc_id // 50 as varchar) || '/' || cast(doc_id as varchar) as path, text
+  from documents
+), found as (
+  select path, len(text) as size, trim(line, ' ') as line
+  from files, unnest(string_split(text, chr(10))) as t(line) where regexp_matches(line, '{anchors}')
+), lines as (
+  select line, count(*) as n from found group by line
+), tf as (
+  select line, term, count(*) as tf, any_value(n) as n
+  from (select line, n, unnest(regexp_extract_all(lower(line), '{terms}')) as term from lines) group by all
+), total as (
+  select coalesce(sum(n), 0) as total from lines
+), idf as (
+  select term, 1 + ln((1.0 + (select total from total)) / (1 + sum(n))) as idf from (select line, term, n from tf) group by term
+), patterns as (
+  select template, license, p.term, tf * coalesce(idf, 1.0 + ln(1.0 + (select total from total))) as tw
+  from (select template, license, term, count(*) as tf from (
+    select template, license, unnest(regexp_extract_all(lower(text), '{terms}')) as term
+    from (values {values}) v(template, license, text)) group by all) p left join idf on idf.term = p.term
+), tnorm as (
+  select template, sqrt(sum(tw * tw)) as tn from patterns group by template
+), weighed as (
+  select line, tf.term, tf * idf as w from tf join idf on idf.term = tf.term
+), norm as (
+  select line, sqrt(sum(w * w)) as norm from weighed group by line
+), scores as (
+  select line, license, round(dot / (norm * tn), 6) as score from (
+    select line, template, license, sum(w * tw) as dot from weighed join patterns using (term) group by all)
+  join tnorm using (template) join norm using (line)
+), best as (
+  select line, license, score from scores where score >= 0.6
+  qualify row_number() over (partition by line order by score desc, license) = 1
+), own as (
+  select path, arg_min(license, (-score, license)) as license, max(score) as score,
+    sum(len(line)) >= 0.5 * max(size) as is_file from found join best using (line) group by path
+), dirs as (
+  select regexp_extract(path, '^(.*)/[^/]*$', 1) as license_dir, arg_min(license, (-score, license)) as license,
+    max(score) as score from own where is_file group by 1
+), up as (
+  select path, license_dir, license, score from (
+    select path, regexp_extract(path, '^(.*)/[^/]*$', 1) as dir from files) f
+  join dirs on f.dir = license_dir or starts_with(f.dir, license_dir || '/')
+  qualify row_number() over (partition by path order by len(license_dir) desc) = 1
+)
+select f.doc_id, f.path, coalesce(own.license, up.license) as license,
+  case when own.license is not null then case when is_file then 'file' else 'header' end
+    when up.license is not null then 'inherited' else 'none' end as how,
+  coalesce(own.score, up.score) as score,
+  case when own.license is null then up.license_dir end as license_dir
+from files f left join own on own.path = f.path left join up on up.path = f.path
+"""

@@ -95,6 +95,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op2_near_join": counterparts.SIMILAR,
     "op3_chat_format": counterparts.CHAT,
+    "op4_repeated_bytes": counterparts.REPEATED,
+    "op7_license_scan": counterparts.licenses_sql(
+        licenses.TEMPLATES, licenses.Settings().anchors, licenses.Settings().terms
+    ),
     "op10_decontaminate": counterparts.BENCHMARK,
 }
