@@ -4,8 +4,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: characters a scope component may keep.
-SCOPE_UNSAFE = "[^a-zA-Z0-9:_]"
-SCOPE_UNSAFE_OR_DOT = "[^a-zA-Z0-9:_.]"  # the same, with the separator let through
+SCOPE_UNSAFE_OR_DOT = "[^a-zA-Z0-9:_.]"  # the separator is let through
 
 
 def is_blank(c: Column) -> Column:
@@ -18,11 +17,6 @@ def full_match(c: Column, pattern: str) -> Column:
     return c.rlike(r"\A(?:" + pattern + r")\z")
 
 
-def sanitise(c: Column) -> Column:
-    """Replace every character a metric scope may not hold with an underscore."""
-    return F.regexp_replace(c, SCOPE_UNSAFE, "_")
-
-
 def scope_path(scope: Column) -> Column:
     """Dotted scope → array of clean components; trailing empty components vanish."""
     trimmed = F.rtrim(scope, F.lit("."))

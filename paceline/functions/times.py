@@ -17,11 +17,6 @@ def to_millis(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def from_millis(ms: Column) -> Column:
-    """Epoch millis → timestamp."""
-    return F.timestamp_millis(ms)
-
-
 def bucket_start(ms: Column, width_ms: int = MINUTE_MS) -> Column:
     """Start of the epoch-aligned bucket that holds ``ms``."""
     return ms - F.pmod(ms, F.lit(width_ms).cast("bigint"))

@@ -38,13 +38,14 @@ def trim(actions: DataFrame, keep: int = MAX_ACTIONS) -> DataFrame:
 
 
 def next_to_issue(actions: DataFrame) -> DataFrame:
-    """The first enqueued action of every job, in queue order."""
+    """The first enqueued action of every job, in queue order.
+
+    The lowest number is found by a hash aggregate with map-side combine; only then is its
+    row looked up, so the queue is not sorted.
+    """
     waiting = actions.filter(F.col("status") == "ENQUEUED")
-    rest = [c for c in actions.columns if c != "job_id"]
-    first = waiting.groupBy("job_id").agg(F.min_by(F.struct(*rest), "seq").alias("_row"))
-    return first.select(*[
-        F.col(c) if c == "job_id" else F.col("_row")[c].alias(c) for c in actions.columns
-    ])
+    first = waiting.groupBy("job_id").agg(F.min("seq").alias("seq"))
+    return waiting.join(first, ["job_id", "seq"], "left_semi").select(*actions.columns)
 
 
 def with_capacity(actions: DataFrame, capacity: DataFrame | None) -> DataFrame:

@@ -1,16 +1,19 @@
 """Operators that depend on the order of arrival.
 
 A running value over one key is a window whose partition is the whole key. One key may
-hold a third of all rows, so no window here spans a key: rows are cut into chunks of
-consecutive arrival numbers, the chunks are pre-aggregated (with map-side combine), the
-small chunk table carries the value forward, and the row window only spans a chunk.
+hold a third of all rows, so the rows of large keys are cut into chunks of consecutive
+arrival numbers: the chunks are pre-aggregated (with map-side combine), the small chunk
+table carries the value forward, and the row window only spans a chunk. All other keys are
+one chunk each.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Arrival numbers per chunk. With one message per arrival number this bounds the rows
-# of one window group, and the chunk table is smaller than the input by this factor.
+from paceline.session import saved
+
+# Arrival numbers per chunk, and rows up to which a key is one chunk. With one message per
+# arrival number this bounds the rows of one window group.
 CHUNK = 1 << 20
 
 
@@ -19,6 +22,12 @@ def chunk_of(arr: str, width: int) -> Column:
     return F.expr(f"`{arr}` div {int(width)}")
 
 
+def large_keys(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """Keys with more rows than this; counted with map-side combine, no rows are moved."""
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    return counts.filter(F.col("_n") > rows).select(*keys)
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -31,12 +40,28 @@ def running(
 ) -> DataFrame:
     """Add ``out``: max (or count) of ``value`` over the earlier rows of the same key.
 
-    The row itself is not included. Keys must not be null. The rows are shuffled once,
-    by (keys, chunk); the join with the carried values reuses that partitioning.
+    The row itself is not included. Keys must not be null. Large keys are looked for right
+    away. The rows are shuffled once, by (keys, chunk); only those of large keys are
+    aggregated and joined with carried values beside that.
     """
     fold, merge = {"max": (F.max, F.max), "count": (F.count, F.sum)}[how]
-    rows = df.withColumn("_chunk", chunk_of(arr, chunk)).withColumn("_value", value)
-    totals = rows.groupBy(*keys, "_chunk").agg(fold("_value").alias("_total"))
+    rows = df.withColumn("_value", value)
+    large = saved(large_keys(df, keys, chunk))
+    if large.isEmpty():
+        order = Window.partitionBy(*keys).orderBy(arr)
+        earlier = order.rowsBetween(Window.unboundedPreceding, -1)
+        return rows.select(*df.columns, fold("_value").over(earlier).alias(out))
+
+    marked = rows.join(large.withColumn("_large", F.lit(True)), keys, "left")
+    rows = marked.withColumn(
+        "_chunk", F.when(F.col("_large"), chunk_of(arr, chunk)).otherwise(F.lit(0))
+    )
+    totals = (
+        df.withColumn("_value", value)
+        .join(large, keys, "left_semi")
+        .groupBy(*keys, chunk_of(arr, chunk).alias("_chunk"))
+        .agg(fold("_value").alias("_total"))
+    )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
         *keys, "_chunk", merge("_total").over(before).alias("_carry")

@@ -32,13 +32,22 @@ def bucket(
 def dedupe_deliveries(messages: DataFrame, ids: list[str], delay: str) -> DataFrame:
     """Drop redelivered messages; needed before a fold that is not idempotent (sum).
 
-    In a stream the remembered ids are bounded by the watermark delay.
+    In a stream the remembered ids are bounded by the watermark delay on ``ts``, epoch millis.
     """
     if messages.isStreaming:
-        return messages.withWatermark("event_time", delay).dropDuplicatesWithinWatermark(ids)
+        return with_watermark(messages, delay).dropDuplicatesWithinWatermark(ids).drop(EVENT_TIME)
     return messages.dropDuplicates(ids)
 
 
+EVENT_TIME = "_event_time"
+
+
+def with_watermark(messages: DataFrame, delay: str) -> DataFrame:
+    """Messages of a stream with a watermark on their event time, in a column of its own."""
+    timed = messages.withColumn(EVENT_TIME, F.timestamp_millis(F.col("ts")))
+    return timed.withWatermark(EVENT_TIME, delay)
+
+
 def _last(keys: list[str]) -> Column:
     return F.max("bucket").over(Window.partitionBy(*keys))
 

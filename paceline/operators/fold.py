@@ -14,10 +14,12 @@ Most jobs never send a disabled message and never bring back a forgotten attempt
 cheap profile pass finds the jobs that do, and only those take the longer ways.
 """
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,6 +27,9 @@ from paceline.operators.arrival import CHUNK, chunk_of, gate, newest_per_key, ru
 from paceline.operators.ingest import with_attempt
 from paceline.session import saved
 
+# The one walk in Python below travels to the workers by value; they need no copy of this.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 MAX_ATTEMPTS = 100
 
 ATTEMPT = ["job_id", "attempt_id"]
@@ -124,9 +129,11 @@ def _unusual_lives(
 # A disabled message resets its job when its attempt has had no enabled message since the
 # last reset. With `known` = arrival of the attempt's last enabled message, that reads
 # `known < last reset`. So all that a job carries along its disabled messages is one
-# number, the last reset. The effect of a whole chunk on that number is a short step
-# function, so chunks are summarised apart from each other, joined up over the (few)
-# summaries, and then replayed apart from each other.
+# number, the last reset. As `known` is below the message's own arrival, every start above
+# the lowest `known` of a span of messages leads to the same end, and any other start stays
+# as it is: a span is a pair (lowest known, end), and so are spans of spans. Spans of a
+# bounded number of messages are folded apart from each other, joined up over their pairs,
+# and replayed apart from each other, all in arrays of bounded size.
 
 
 def _split_by_resets(rows: DataFrame, chunk: int) -> DataFrame:
@@ -152,31 +159,72 @@ def _split_by_resets(rows: DataFrame, chunk: int) -> DataFrame:
     return kept.withColumn("live", live).select(*rows.columns, "life", "live")
 
 
+SPAN, SPANS = 1 << 12, 1 << 10  # arrival numbers of a span, spans of a span of spans
+ENDLESS = 2**62  # a start above every arrival number
+
+
+def _after(spans: Column, start: Column) -> Column:
+    """The last reset after consecutive spans (low, end), given the one before them."""
+    return F.aggregate(
+        spans, start, lambda last, s: F.when(last > s["low"], s["end"]).otherwise(last)
+    )
+
+
+def _starts(spans: Column, start: Column, number: str) -> Column:
+    """The last reset before each of some consecutive spans, as (number, start)."""
+    none = F.array().cast(f"array<struct<{number}:bigint,start:bigint>>")
+    return F.aggregate(
+        spans,
+        F.struct(start.alias("last"), none.alias("starts")),
+        lambda acc, s: F.struct(
+            F.when(acc["last"] > s["low"], s["end"]).otherwise(acc["last"]).alias("last"),
+            F.concat(
+                acc["starts"], F.array(F.struct(s[number].alias(number), acc["last"].alias("start")))
+            ).alias("starts"),
+        ),
+        lambda acc: acc["starts"],
+    )
+
+
 def _find_resets(off: DataFrame, chunk: int) -> DataFrame:
     """Disabled messages (job_id, arr, _known) → those that reset their job."""
-    rows = off.withColumn("_chunk", chunk_of("arr", chunk))
-    part = ["job_id", "_chunk"]
-    steps = (
-        rows.repartition(*part)
-        .sortWithinPartitions(*part, "arr")
-        .select(*part, "arr", "_known")
-        .mapInPandas(_summarise, "job_id string, _chunk bigint, above bigint, becomes bigint")
+    width = min(SPAN, chunk)
+    start = F.lit(ENDLESS).cast("bigint")
+    message = F.struct("arr", F.col("_known").alias("low"), F.col("arr").alias("end"))
+    spans = saved(
+        off.groupBy("job_id", chunk_of("arr", width).alias("span"))
+        .agg(F.array_sort(F.collect_list(message)).alias("rows"))
+        .withColumn("low", F.array_min(F.transform("rows", lambda r: r["low"])))
+        .withColumn("end", _after(F.col("rows"), start))
     )
-    starts = (
-        steps.repartition("job_id")
-        .sortWithinPartitions("job_id", "_chunk", F.desc("above"))
-        .mapInPandas(_join_up, "job_id string, _chunk bigint, _start bigint")
+    parts = (
+        spans.groupBy("job_id", F.expr(f"span div {SPANS}").alias("part"))
+        .agg(F.array_sort(F.collect_list(F.struct("span", "low", "end"))).alias("spans"))
+        .withColumn("low", F.array_min(F.transform("spans", lambda s: s["low"])))
+        .withColumn("end", _after(F.col("spans"), start))
     )
-    return (
-        rows.join(starts, part)
-        .repartition(*part)
-        .sortWithinPartitions(*part, "arr")
-        .select(*part, "arr", "_known", "_start")
-        .mapInPandas(_replay, "job_id string, arr bigint")
+    first = F.lit(NO_RESET).cast("bigint")
+    jobs = (
+        parts.groupBy("job_id")
+        .agg(F.array_sort(F.collect_list(F.struct("part", "low", "end"))).alias("parts"))
+        .select("job_id", F.inline(_starts(F.col("parts"), first, "part")))
     )
-
-
-# The three walks read sorted rows batch by batch and hold a few numbers in between.
+    begun = parts.join(jobs, ["job_id", "part"]).select(
+        "job_id", F.inline(_starts(F.col("spans"), F.col("start"), "span"))
+    )
+    none = F.array().cast("array<bigint>")
+    found = F.aggregate(
+        "rows",
+        F.struct(F.col("start").alias("last"), none.alias("found")),
+        lambda acc, r: F.struct(
+            F.when(acc["last"] > r["low"], r["end"]).otherwise(acc["last"]).alias("last"),
+            F.when(acc["last"] > r["low"], F.concat(acc["found"], F.array(r["end"])))
+            .otherwise(acc["found"])
+            .alias("found"),
+        ),
+        lambda acc: acc["found"],
+    )
+    return spans.join(begun, ["job_id", "span"]).select("job_id", F.explode(found).alias("arr"))
 
 
 def _lists(pdf: pd.DataFrame) -> Iterator[tuple]:
@@ -188,72 +236,6 @@ def _frame(rows: list[tuple], *columns: str) -> pd.DataFrame:
     return frame.astype({c: "Int64" for c in columns if c != "job_id" and c != "attempt_id"})
 
 
-def _summarise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Every chunk as a step function of the last reset before it.
-
-    A row (above, becomes) says: a start above ``above`` (and not above the next higher
-    step) ends as ``becomes``. A start above no step stays as it is.
-    """
-    columns = ("job_id", "_chunk", "above", "becomes")
-    part, steps = None, []  # steps: highest `above` first
-    for pdf in batches:
-        out = []
-        for job, number, arr, known in _lists(pdf):
-            if (job, number) != part:
-                out.extend((*part, *step) for step in steps)
-                part, steps = (job, number), []
-            for step in steps:
-                if step[1] > known:
-                    step[1] = arr
-            if not steps or known < steps[-1][0]:
-                steps.append([known, arr])
-            if len(steps) > 1:
-                steps = _merge(steps)
-        yield _frame(out, *columns)
-    yield _frame([(*part, *step) for step in steps], *columns)
-
-
-def _merge(steps: list[list[int]]) -> list[list[int]]:
-    """Neighbouring steps with the same outcome as one."""
-    merged = steps[:1]
-    for step in steps[1:]:
-        if merged[-1][1] == step[1]:
-            merged[-1][0] = step[0]
-        else:
-            merged.append(step)
-    return merged
-
-
-def _join_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The last reset at the start of every chunk, from the chunk summaries of each job."""
-    part, start, last = (None, None), NO_RESET, NO_RESET
-    for pdf in batches:
-        out = []
-        for job, number, above, becomes in _lists(pdf):
-            if (job, number) != part:
-                start = last = last if job == part[0] else NO_RESET
-                part = (job, number)
-                out.append((job, number, start))
-            # The highest step below the start applies; the others come after it.
-            if last == start and above < start:
-                last = becomes
-        yield _frame(out, "job_id", "_chunk", "_start")
-
-
-def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Resets of every chunk, given the last reset before it."""
-    part, last = None, NO_RESET
-    for pdf in batches:
-        found = []
-        for job, number, arr, known, start in _lists(pdf):
-            if (job, number) != part:
-                part, last = (job, number), start
-            if known < last:
-                last = arr
-                found.append((job, arr))
-        yield _frame(found, "job_id", "arr")
-
-
 # --- eviction ----------------------------------------------------------------------
 
 
@@ -289,29 +271,41 @@ def _drop_evicted(rows: DataFrame, max_attempts: int) -> DataFrame:
 # Here every decision needs the queue of known attempts as it is at that moment. A run of
 # neighbouring messages with the same attempt and flag acts like its first message, so
 # only runs are followed, sorted and streamed batch by batch with one short queue in
-# memory; the messages themselves never pass through.
+# memory; the messages themselves never pass through. A disabled message of an attempt that
+# was never enabled before is a reset whatever the queue holds, so the queue is known to be
+# empty after it: the job is cut there, and its pieces are followed in different tasks.
+
+
+def _pieces(rows: DataFrame, chunk: int) -> DataFrame:
+    """Rows with ``_piece``, the number of certain resets of the job before them."""
+    seen = running(rows, ATTEMPT, F.when(F.col("enabled"), F.col("arr")), "_known", chunk=chunk)
+    certain = F.when(~F.col("enabled") & F.col("_known").isNull(), F.lit(1))
+    told = running(seen, ["job_id"], certain, "_piece", how="count", chunk=chunk)
+    return told.drop("_known")
 
 
 def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
-    cut = rows.withColumn("_chunk", chunk_of("arr", chunk))
+    cut = saved(_pieces(rows, chunk)).withColumn("_chunk", chunk_of("arr", chunk))
     order = Window.partitionBy("job_id", "_chunk").orderBy("arr")
     same = (F.lag("attempt_id").over(order) == F.col("attempt_id")) & (
         F.lag("enabled").over(order) == F.col("enabled")
     )
     cut = cut.withColumn("_first", ~F.coalesce(same, F.lit(False)))
     cut = cut.withColumn("_run", F.sum(F.col("_first").cast("int")).over(order))
-    runs = cut.filter("_first").select("job_id", "_chunk", "_run", "arr", "attempt_id", "enabled")
+    runs = cut.filter("_first").select(
+        "job_id", "_piece", "_chunk", "_run", "arr", "attempt_id", "enabled"
+    )
 
-    columns = ("job_id", "_chunk", "_run", "attempt_id", "life")
+    columns = ("job_id", "_piece", "_chunk", "_run", "attempt_id", "life")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        job, known = None, {}
+        place, known = (None, None), {}
         for pdf in batches:
             out = []
-            for row_job, number, run, arr, attempt, enabled in _lists(pdf):
-                if row_job != job:
-                    out.extend((job, None, None, a, born) for a, born in known.items())
-                    job, known = row_job, {}
+            for job, piece, number, run, arr, attempt, enabled in _lists(pdf):
+                if (job, piece) != place:
+                    out.extend((*place, None, None, a, born) for a, born in known.items())
+                    place, known = (job, piece), {}
                 if attempt not in known:
                     if not enabled:
                         known.clear()
@@ -319,19 +313,23 @@ def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
                     known[attempt] = arr
                     if len(known) > max_attempts:
                         del known[next(iter(known))]
-                out.append((job, number, run, attempt, known[attempt]))
+                out.append((job, piece, number, run, attempt, known[attempt]))
             yield _frame(out, *columns)
-        yield _frame([(job, None, None, a, born) for a, born in known.items()], *columns)
+        yield _frame([(*place, None, None, a, born) for a, born in known.items()], *columns)
 
     lives = saved(
-        runs.repartition("job_id")
-        .sortWithinPartitions("job_id", "arr")
+        runs.repartition("job_id", "_piece")
+        .sortWithinPartitions("job_id", "_piece", "arr")
         .mapInPandas(
-            walk, "job_id string, _chunk bigint, _run bigint, attempt_id string, life bigint"
+            walk,
+            "job_id string, _piece bigint, _chunk bigint, _run bigint, attempt_id string,"
+            " life bigint",
         )
     )
-    told = lives.filter(F.col("_run").isNotNull()).drop("attempt_id")
-    alive = lives.filter(F.col("_run").isNull()).select(*LIFE, F.lit(True).alias("_alive"))
+    told = lives.filter(F.col("_run").isNotNull()).drop("attempt_id", "_piece")
+    final = runs.groupBy("job_id").agg(F.max("_piece").alias("_piece"))
+    alive = lives.filter(F.col("_run").isNull()).join(final, ["job_id", "_piece"], "left_semi")
+    alive = alive.select(*LIFE, F.lit(True).alias("_alive"))
     return (
         cut.join(told, ["job_id", "_chunk", "_run"])
         .join(alive, LIFE, "left")

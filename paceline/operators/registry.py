@@ -27,13 +27,13 @@ def snapshot_kinds(log: DataFrame) -> DataFrame:
 def current_metrics(log: DataFrame, keys: list[str]) -> DataFrame:
     """Add / remove log → the metrics that are registered at its end.
 
-    The last entry of a metric decides; the aggregate is combined before the shuffle.
+    The last entry of a metric decides. Its number comes from a hash aggregate that is
+    combined before the shuffle, and picks the entry afterwards.
     """
-    last = log.groupBy(*keys, "path", "name").agg(
-        F.max_by(F.struct("op", "kind", "value"), "seq").alias("_last")
-    )
-    present = last.filter(F.col("_last.op") == "add")
-    return present.select(*keys, "path", "name", "_last.kind", "_last.value")
+    metric = [*keys, "path", "name"]
+    last = log.groupBy(*metric).agg(F.max("seq").alias("seq"))
+    present = log.filter(F.col("op") == "add").join(last, [*metric, "seq"], "left_semi")
+    return present.select(*metric, "kind", "value")
 
 
 def known_groups(log: DataFrame, keys: list[str]) -> DataFrame:

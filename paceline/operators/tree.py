@@ -3,9 +3,6 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# Levels of names that a metric tree has at most, unless the caller says otherwise.
-DEPTH = 8
-
 
 def nesting_depth(json_text: Column) -> Column:
     """How deep the braces of a JSON text nest; braces inside strings do not count."""
@@ -20,21 +17,41 @@ def nesting_depth(json_text: Column) -> Column:
     return F.aggregate(braces, start, step, lambda acc: acc["top"])
 
 
+def reject_reason(json_text: Column) -> Column:
+    """Why a text cannot be flattened, null if it can. Every parser reads objects only."""
+    node = F.try_parse_json(json_text)
+    kind = F.schema_of_variant(node)
+    return (
+        F.when(json_text.isNull(), "missing")
+        .when(kind.startswith("OBJECT<"), F.lit(None))
+        .when(node.isNotNull() | ~json_text.rlike(r"^\s*\{"), "no object")
+        .when(F.json_object_keys(json_text).isNotNull(), "duplicate key")
+        .otherwise("malformed")
+    )
+
+
+def split_trees(rows: DataFrame, json_text: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose text is a JSON object, the others with a ``reason``)."""
+    told = rows.withColumn("reason", reject_reason(F.col(json_text)))
+    return told.filter("reason is null").drop("reason"), told.filter("reason is not null")
+
+
 def flatten_tree(
     rows: DataFrame,
     json_text: str,
     keys: list[str],
     *,
-    depth: int | None = DEPTH,
+    depth: int | None = None,
     empty_groups: bool = False,
 ) -> DataFrame:
     """JSON objects → (keys, path, name, value), one row per leaf.
 
     The path stays an array because names may contain dots. A JSON null stays null. With
     ``empty_groups`` an object without members gives a row with a null name. One chain of
-    generators opens all levels in one pass over the rows. ``depth`` is the number of name
-    levels to open; a deeper row raises, so nothing is lost silently. With ``depth=None``
-    the levels are measured first, which reads the rows once more.
+    generators opens all levels in one pass over the rows; how many there are is measured
+    first, unless the caller knows and says so by ``depth``. What lies below a ``depth`` that
+    is too small comes as the text of its object. Texts that are no objects give no rows:
+    :func:`split_trees` tells them apart.
     """
     levels = depth
     if levels is None:
@@ -59,23 +76,37 @@ def flatten_tree(
             .alias("_path"),
             F.when(has_child, F.col("value")).otherwise(F.col("_node")).alias("_node"),
         )
-    kind = F.schema_of_variant("_node")
-    is_empty = F.coalesce(kind == "OBJECT<>", F.lit(False))
-    too_deep = F.coalesce(kind.startswith("OBJECT<") & ~is_empty, F.lit(False))
+    is_empty = F.coalesce(F.schema_of_variant("_node") == "OBJECT<>", F.lit(False))
     level = level.filter(F.col("_node").isNotNull())
     if not empty_groups:
         level = level.filter(~is_empty)
-    refuse = F.raise_error(F.lit("the tree is deeper than the given depth"))
-    value = F.when(too_deep, refuse.cast("string")).otherwise(F.col("_node").cast("string"))
     inner = F.slice("_path", F.lit(1), F.greatest(F.size("_path") - 1, F.lit(0)))
     return level.select(
         *keys,
         F.when(is_empty, F.col("_path")).otherwise(inner).alias("path"),
         F.when(~is_empty, F.try_element_at("_path", F.lit(-1))).alias("name"),
-        F.when(~is_empty, value).alias("value"),
+        F.when(~is_empty, F.col("_node").cast("string")).alias("value"),
     )
 
 
+def split_clashes(leaves: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(leaves that can stand in one tree, metrics that cannot).
+
+    A group wins over a metric of the same name, and of metrics that share path and name the
+    greatest value does. A metric clashes exactly if the row after it, in order of full paths,
+    begins with its own.
+    """
+    names = F.when(F.col("name").isNull(), F.array()).otherwise(F.array("name"))
+    rows = leaves.withColumn("_full", F.concat("path", names.cast("array<string>")))
+    order = Window.partitionBy(*keys).orderBy("_full", F.col("name").asc_nulls_last(), "value")
+    after = F.lead("_full").over(order)
+    clash = F.col("name").isNotNull() & F.coalesce(
+        F.slice(after, 1, F.size("_full")) == F.col("_full"), F.lit(False)
+    )
+    told = rows.withColumn("_clash", clash).drop("_full")
+    return told.filter("not _clash").drop("_clash"), told.filter("_clash").drop("_clash")
+
+
 def _quoted(name: Column) -> Column:
     """A JSON string literal."""
     pair = F.to_json(F.create_map(F.lit("k"), F.coalesce(name, F.lit(""))))
@@ -85,13 +116,15 @@ def _quoted(name: Column) -> Column:
 def build_tree(leaves: DataFrame, keys: list[str], out: str = "tree") -> DataFrame:
     """(keys, path, name, value) → one JSON object per key, members in name order.
 
-    A row with a null name only says that the group at ``path`` exists. Rows sorted by
+    A row with a null name only says that the group at ``path`` exists. Metrics that clash
+    with a group or with each other are left out as :func:`split_clashes` says. Rows sorted by
     their full path are already in document order: each row only has to close the groups
     it leaves and open the groups it enters, which follows from the row before it, so the
     depth of the tree costs nothing.
     """
     names = F.when(F.col("name").isNull(), F.array()).otherwise(F.array("name"))
-    rows = leaves.withColumn("_full", F.concat("path", names.cast("array<string>")))
+    kept, _ = split_clashes(leaves, keys)
+    rows = kept.withColumn("_full", F.concat("path", names.cast("array<string>")))
     order = Window.partitionBy(*keys).orderBy("_full")
     rows = rows.withColumns(
         {

@@ -17,20 +17,21 @@ from paceline.operators.arrival import gate, newest_per_key, running_count
 from paceline.operators.clicks import click_counts
 from paceline.operators.fold import fold, read_lives
 from paceline.operators.ingest import parse_messages, split_rejects, sub_group
-from paceline.operators.tree import build_tree, flatten_tree
+from paceline.operators.tree import build_tree, flatten_tree, split_clashes, split_trees
 from paceline.plans import views
 from paceline.plans.cycle import issue_round, run_round
 from paceline.plans.evaluate import evaluate
 from paceline.plans.views import SETTINGS, events, flat_actions, flat_proposals, latest_time
 from paceline.sources.readers import decode_clicks, decode_diagnostics
-from paceline.sources.writers import encode_click, encode_diagnostics, encode_statistics
+from paceline.session import run_dir
+from paceline.sources.writers import (
+    encode_click, encode_diagnostics, encode_statistics, record_issued,
+)
 from paceline.streaming import reports
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-TREE_DEPTH = 5  # names from the root of a metric tree to its leaves
-
 
 def query(fn: Query) -> Query:
     QUERIES[fn.__name__] = fn
@@ -136,6 +137,19 @@ def state_with_resets(spark, folder):
     return kept.select("job_id", "attempt_id", "created", "first_time", "last_time")
 
 
+@query
+def fold_with_evictions(spark, folder):
+    """Three attempts are kept of a job, so forgotten ones come back all the time."""
+    kept = fold(views.crowded_messages(events(spark, folder)), max_attempts=3)
+    return kept.select("arr", "job_id", "attempt_id", "ts", "live")
+
+
+@query
+def state_with_evictions(spark, folder):
+    kept = read_lives(views.crowded_messages(events(spark, folder)), max_attempts=3).state
+    return kept.select("job_id", "attempt_id", "created", "first_time", "last_time")
+
+
 # --- state -------------------------------------------------------------------------------
 
 
@@ -340,8 +354,7 @@ def evaluate_policies(spark, folder):
 @query
 def evaluate_with_pending(spark, folder):
     """Attempts that already have an action are left alone."""
-    rows = events(spark, folder)
-    held = views.sizing_actions(rows).filter("job_id like '%-1'")
+    held = views.held_actions(events(spark, folder), F.col("job_id").like("%-1"))
     return flat_proposals(_evaluate(spark, folder, actions=held))
 
 
@@ -359,7 +372,17 @@ def evaluate_with_resets(spark, folder):
 @query
 def all_proposals(spark, folder):
     """The distinct proposals of all policies before one is chosen."""
-    return scale_up(spark, folder).unionByName(scale_down(spark, folder)).distinct()
+    return flat_proposals(_evaluate(spark, folder, every=True)).distinct()
+
+
+@query
+def evaluate_from_json(spark, folder):
+    """From the JSON lines of the messages to the proposals; rejects are left out."""
+    rows = events(spark, folder)
+    good, _ = split_rejects(_parsed(spark, folder))
+    return flat_proposals(
+        evaluate(good, SETTINGS, latest_time, job_config=views.job_config(rows))
+    )
 
 
 @query
@@ -382,7 +405,7 @@ def _actions(spark, folder):
 
 @query
 def pending_anti_join(spark, folder):
-    held = _actions(spark, folder).filter("seq % 400 = 0")
+    held = views.held_actions(events(spark, folder), F.col("seq") % 400 == 0)
     return queue.without_action(_state(spark, folder), held).select("job_id", "attempt_id")
 
 
@@ -418,11 +441,35 @@ def issue_actions(spark, folder):
     return flat_actions(after)
 
 
+@query
+def issue_partly_failed(spark, folder):
+    """The queue after a round in which the actions of some jobs could not be applied."""
+    rows = events(spark, folder)
+    after, _ = issue_round(
+        views.sizing_actions(rows),
+        lambda: views.capacity(rows),
+        lambda issued: issued.filter("job_id not like 'c%'").select("job_id", "seq"),
+    )
+    return flat_actions(after)
+
+
+@query
+def issued_log(spark, folder):
+    """What a log of two rounds holds after the second round was run twice."""
+    rows = events(spark, folder)
+    path = f"{run_dir(spark)}/issued"
+    queue_, limits = views.sizing_actions(rows), views.capacity(rows)
+    after, _ = issue_round(queue_, limits, record_issued(path, 0))
+    for _ in range(2):
+        issue_round(after, limits, record_issued(path, 1))
+    return flat_actions(spark.read.parquet(path).select(*queue_.columns))
+
+
 @query
 def action_round(spark, folder):
     """A whole round: evaluate, enqueue, trim, issue."""
     rows = events(spark, folder)
-    held = views.sizing_actions(rows).filter("job_id like '%-1'")
+    held = views.held_actions(rows, F.col("job_id").like("%-1"))
     settings = replace(SETTINGS, max_actions=20)
     after, _ = run_round(
         views.messages(rows), held, settings, latest_time, 1_000_000_000,
@@ -485,19 +532,42 @@ def snapshot_messages(spark, folder):
 @query
 def metric_flatten(spark, folder):
     rows = views.envelopes(events(spark, folder))
-    leaves = flatten_tree(rows, "metricsSnapshot", ["event_id"], depth=TREE_DEPTH)
+    leaves = flatten_tree(rows, "metricsSnapshot", ["event_id"])
     return leaves.withColumn("path", F.array_join("path", "/"))
 
 
 @query
 def metric_tree_round_trip(spark, folder):
     rows = views.envelopes(events(spark, folder))
-    leaves = flatten_tree(
-        rows, "metricsSnapshot", ["event_id"], depth=TREE_DEPTH, empty_groups=True
-    )
+    leaves = flatten_tree(rows, "metricsSnapshot", ["event_id"], empty_groups=True)
     return build_tree(leaves, ["event_id"])
 
 
+@query
+def metric_flatten_deep(spark, folder):
+    """Trees of one to thirteen levels in one table."""
+    rows = views.deep_trees(events(spark, folder))
+    leaves = flatten_tree(rows, "tree", ["event_id"])
+    return leaves.withColumn("path", F.array_join("path", "/"))
+
+
+@query
+def metric_flatten_rejects(spark, folder):
+    """What cannot be flattened, with the reason, beside the leaves of all other texts."""
+    good, bad = split_trees(views.broken_trees(events(spark, folder)), "tree")
+    leaves = flatten_tree(good, "tree", ["event_id"])
+    return leaves.select("event_id", "name", "value", F.lit(None).cast("string").alias("reason")).unionByName(
+        bad.select("event_id", "reason"), allowMissingColumns=True
+    )
+
+
+@query
+def metric_clashes(spark, folder):
+    """Metrics that are named like a group of their process."""
+    rows = views.clashing_leaves(events(spark, folder))
+    return split_clashes(rows, ["process"])[1].select("process", F.array_join("path", "/").alias("path"), "name", "value")
+
+
 @query
 def sub_group_present(spark, folder):
     rows = views.envelopes(events(spark, folder)).withColumn(
@@ -515,6 +585,27 @@ def sub_group_present(spark, folder):
 # --- streams ------------------------------------------------------------------------------
 
 
+@query
+def processing_time_count(spark, folder):
+    """Counts by the time of ingestion instead of the time of the click."""
+    late = F.make_interval(secs=F.col("event_id") % 60)
+    rows = events(spark, folder).withColumn("ingested", F.col("ts") + late)
+    return click_counts(rows, time="ingested", page="event_type", watermark=None)
+
+
+@query
+def stream_late_clicks(spark, folder):
+    """Counts of a stream of four files in which some clicks come a file late."""
+    return reports.late_clicks(spark, folder)
+
+
+@query
+def stream_redelivered_sum(spark, folder):
+    """Every message twice in a stream that drops the copies."""
+    points = buckets.bucket(fold(reports.delivered_once(spark, folder)), width_ms=DAY_MS, fold="sum")
+    return points.withColumn("v", F.round("v", 6))
+
+
 @query
 def stream_click_count(spark, folder):
     return reports.click_count(spark, folder)

@@ -26,10 +26,12 @@ def evaluate(
     *,
     job_config: DataFrame | None = None,
     actions: DataFrame | None = None,
+    every: bool = False,
 ) -> DataFrame:
     """At most one proposal per job: the first policy, by priority, that wants a change.
 
-    ``now_ms`` is a number, a column, or a function of the state table.
+    ``now_ms`` is a number, a column, or a function of the state table. With ``every`` the
+    proposals of all policies come back, as if each were evaluated alone.
     """
     lives = read_lives(messages, max_attempts=settings.max_attempts, chunk=settings.chunk)
     state = with_size(lives.state, job_config, settings.default_size)
@@ -37,7 +39,7 @@ def evaluate(
     # One row per job. Its true size decides whether the messages, which are joined with it
     # twice, stay where they are or are shuffled.
     latest = saved(candidates(latest_attempts(state), settings, now, actions))
-    return decide(latest, recent_points(lives.rows, latest, settings), settings)
+    return decide(latest, recent_points(lives.rows, latest, settings), settings, every=every)
 
 
 def candidates(
@@ -133,23 +135,22 @@ def proposal(policy: Policy, i: int, settings: Settings) -> Column:
     )
 
 
-def decide(latest: DataFrame, points: DataFrame, settings: Settings) -> DataFrame:
-    """Latest attempts and their points → proposals.
+def decide(
+    latest: DataFrame, points: DataFrame, settings: Settings, *, every: bool = False
+) -> DataFrame:
+    """Latest attempts and their points → proposals, the first per job or ``every`` one.
 
     All policies are looked at in the same row, so taking the first one needs no union
     and no further shuffle.
     """
     rows = latest.join(window_columns(points, settings), LIFE)
-    first = F.coalesce(*[proposal(p, i, settings) for i, p in enumerate(settings.policies)])
-    return (
-        rows.withColumn("_first", first)
-        .filter(F.col("_first").isNotNull())
-        .select(
-            "job_id",
-            "attempt_id",
-            F.col("size").alias("current_size"),
-            F.col("_first.target").alias("target_size"),
-            F.col("_first.type").alias("type"),
-            F.col("_first.usage").alias("usage"),
-        )
+    wanted = F.array(*[proposal(p, i, settings) for i, p in enumerate(settings.policies)])
+    told = F.filter(wanted, lambda x: x.isNotNull())
+    return rows.withColumn("_told", F.explode(told if every else F.slice(told, 1, 1))).select(
+        "job_id",
+        "attempt_id",
+        F.col("size").alias("current_size"),
+        F.col("_told.target").alias("target_size"),
+        F.col("_told.type").alias("type"),
+        F.col("_told.usage").alias("usage"),
     )

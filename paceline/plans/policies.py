@@ -11,17 +11,7 @@ from paceline.functions.times import MINUTE_MS
 from paceline.operators.arrival import CHUNK
 from paceline.operators.fold import MAX_ATTEMPTS
 
-# Action kinds and statuses.
-ACTION_TYPES = (
-    "JOB_HEAP_MEMORY_SCALEUP",
-    "JOB_HEAP_MEMORY_SCALEDOWN",
-    "JOB_TOTAL_MEMORY_SCALEUP",
-    "JOB_TOTAL_MEMORY_SCALEDOWN",
-    "JOB_VCORE_SCALEUP",
-    "JOB_VCORE_SCALEDOWN",
-    "JOB_THREAD_SCALEUP",
-    "JOB_THREAD_SCALEDOWN",
-)
+# Statuses of an action.
 STATUSES = ("ENQUEUED", "ISSUED", "COMPLETE", "DISCARDED")
 
 
@@ -114,6 +104,7 @@ class Settings:
 
 def settings_from_properties(values: Mapping[str, str], **overrides) -> Settings:
     """Settings from a flat property map, as read from a ``key=value`` file."""
+    # The property names below.
 
     def cpu(make: Callable[..., Policy], part: str) -> Policy:
         return make(

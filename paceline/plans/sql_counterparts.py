@@ -223,6 +223,46 @@ acc_all AS (
   ) WHERE seen IS NULL OR ts >= seen
 )"""
 
+# Message by message, with the list of known attempts, of which three are kept.
+CROWDED = """
+m AS (
+  SELECT (event_id + (event_id * 7919) % 41) * 41 + 40 - (event_id * 7919) % 41 AS arr,
+         CASE WHEN event_id % 3 = 0 THEN 'hot'
+              ELSE event_type || '-' || CAST(user_id % 20 AS VARCHAR) END AS job_id,
+         'c' || CAST(event_id * 31 % 7 AS VARCHAR) AS attempt_id,
+         event_id % 16 <> 1 AS enabled, epoch_us(ts) // 1000 AS ts
+  FROM events
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY arr) AS n FROM m),
+walk AS (
+  SELECT DISTINCT job_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(a VARCHAR, born BIGINT)[]) AS known,
+         CAST(NULL AS BIGINT) AS arr, CAST(NULL AS VARCHAR) AS attempt_id, CAST(NULL AS BIGINT) AS ts
+  FROM m
+  UNION ALL
+  SELECT x.job_id, x.n,
+         CASE WHEN len(list_filter(w.known, lambda k: k.a = x.attempt_id)) > 0 THEN w.known
+              WHEN NOT x.enabled THEN []
+              ELSE list_concat(CASE WHEN len(w.known) >= 3 THEN w.known[2:] ELSE w.known END,
+                               [{'a': x.attempt_id, 'born': x.arr}]) END,
+         x.arr, x.attempt_id, x.ts
+  FROM walk w JOIN numbered x ON x.job_id = w.job_id AND x.n = w.n + 1
+),
+final AS (
+  SELECT job_id, known AS at_end FROM walk
+  QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY n DESC) = 1
+),
+told AS (
+  SELECT job_id, arr, attempt_id, ts, list_filter(known, lambda k: k.a = attempt_id)[1].born AS life
+  FROM walk WHERE len(list_filter(known, lambda k: k.a = attempt_id)) > 0
+),
+acc_all AS (
+  SELECT t.* EXCLUDE (seen), list_contains(at_end, {'a': attempt_id, 'born': life}) AS live FROM (
+    SELECT *, max(ts) OVER (PARTITION BY job_id, attempt_id, life ORDER BY arr
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen
+    FROM told
+  ) t JOIN final USING (job_id) WHERE seen IS NULL OR ts >= seen
+)"""
+
 FLAGGED_STATE_POINTS = (
     FLAGGED
     + ", acc AS (SELECT * FROM acc_all WHERE live),"
@@ -363,6 +403,43 @@ PROPOSAL_COLUMNS = (
 
 # --- one statement per named query --------------------------------------------------------
 
+# Messages as they come out of the JSON lines, without the rejects.
+JSON_MESSAGES = f"""
+{ENVELOPES},
+m AS (
+  SELECT event_id + (event_id * 7919) % 41 AS o1, event_id AS o2,
+         (event_id + (event_id * 7919) % 41) * 41 + 40 - (event_id * 7919) % 41 AS arr,
+         job_id, attempt_id, ts, is_worker,
+         CASE WHEN NOT is_worker THEN NULL WHEN event_id % 11 = 0 THEN 0.0::DOUBLE
+              ELSE value END AS load
+  FROM env WHERE {REASON} IS NULL
+)"""
+FROM_JSON = JSON_MESSAGES + STATE_POINTS.removeprefix(MESSAGES)
+
+
+def held(current: str) -> str:
+    """All actions; those that are not current are about an earlier numbering."""
+    return f"""
+held_actions AS (
+  SELECT * REPLACE (CASE WHEN {current} THEN attempt_id ELSE 'old-' || attempt_id END AS attempt_id)
+  FROM actions
+)"""
+
+
+# Four files by time of the month; every fiftieth click of the first half is two files late.
+LATE_CLICKS = """
+span AS (SELECT min(epoch_us(ts)) AS a, max(epoch_us(ts)) + 1 AS b FROM events),
+part AS (
+  SELECT e.*, n + CASE WHEN event_id % 50 = 0 AND n < 2 THEN 2 ELSE 0 END AS file
+  FROM (SELECT e.*, (epoch_us(ts) - a) * 4 // (b - a) AS n FROM events e, span) e
+),
+mark AS (SELECT file, max(epoch_us(ts)) // 1000 * 1000 - 200000 AS wm FROM part GROUP BY file),
+placed AS (
+  SELECT p.*, time_bucket(INTERVAL 15 SECOND, ts) AS window_start,
+         time_bucket(INTERVAL 15 SECOND, ts) + INTERVAL 15 SECOND AS window_end,
+         (SELECT max(wm) FROM mark WHERE mark.file < p.file - 1) AS seen FROM part p
+)"""
+
 SQL: dict[str, str] = {
     "click_count_15s": f"WITH {CLICKS} SELECT * FROM clicks",
     "click_json_encode": f"SELECT event_id, {CLICK_LINE} AS value FROM events",
@@ -403,6 +480,13 @@ SQL: dict[str, str] = {
         SELECT job_id, attempt_id, min(arr) AS created, arg_min(ts, arr) AS first_time,
                max(ts) AS last_time
         FROM acc_all WHERE live GROUP BY job_id, attempt_id""",
+    "fold_with_evictions": f"""
+        WITH RECURSIVE {CROWDED} SELECT arr, job_id, attempt_id, ts, live FROM acc_all""",
+    "state_with_evictions": f"""
+        WITH RECURSIVE {CROWDED}
+        SELECT job_id, attempt_id, min(arr) AS created, arg_min(ts, arr) AS first_time,
+               max(ts) AS last_time
+        FROM acc_all WHERE live GROUP BY job_id, attempt_id""",
     "job_state": f"""
         WITH {STATE}
         SELECT job_id, attempt_id, created, first_time, last_time, container_mb,
@@ -490,13 +574,15 @@ SQL: dict[str, str] = {
         SELECT {PROPOSAL_COLUMNS} FROM prop WHERE prio = 1""",
     "evaluate_policies": f"WITH {proposals()} {FIRST_PROP} SELECT {PROPOSAL_COLUMNS} FROM firstprop",
     "evaluate_with_pending": f"""
-        WITH {ACTIONS}, {proposals(screen='''(job_id, attempt_id) NOT IN
-          (SELECT (job_id, attempt_id) FROM actions WHERE job_id LIKE '%-1')''')} {FIRST_PROP}
+        WITH {ACTIONS}, {held("job_id LIKE '%-1'")}, {proposals(screen='''(job_id, attempt_id) NOT IN
+          (SELECT (job_id, attempt_id) FROM held_actions)''')} {FIRST_PROP}
         SELECT {PROPOSAL_COLUMNS} FROM firstprop""",
     "evaluate_with_resets": f"""
         WITH RECURSIVE {proposals(base=FLAGGED_STATE_POINTS, delay=0)} {FIRST_PROP}
         SELECT {PROPOSAL_COLUMNS} FROM firstprop""",
     "all_proposals": f"WITH {proposals()} SELECT DISTINCT {PROPOSAL_COLUMNS} FROM prop",
+    "evaluate_from_json": f"""
+        WITH {proposals(base=FROM_JSON)} {FIRST_PROP} SELECT {PROPOSAL_COLUMNS} FROM firstprop""",
     "resized": f"""
         WITH {STATE_POINTS}, {window(0)},
         wish AS (SELECT s.*, CAST(ceil(v) AS BIGINT) AS wanted
@@ -506,9 +592,9 @@ SQL: dict[str, str] = {
                CAST(greatest(total // container_count, 1) AS INTEGER) AS container_num_cores,
                container_count FROM sized""",
     "pending_anti_join": f"""
-        WITH {STATE}, {ACTIONS}
+        WITH {STATE}, {ACTIONS}, {held("seq % 400 = 0")}
         SELECT s.job_id, s.attempt_id FROM state s
-        ANTI JOIN (SELECT * FROM actions WHERE seq % 400 = 0) a USING (job_id, attempt_id)""",
+        ANTI JOIN held_actions a USING (job_id, attempt_id)""",
     "actions_trim": f"""
         WITH {ACTIONS} SELECT {ACTION_COLUMNS} FROM actions
         QUALIFY row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) <= 20""",
@@ -524,11 +610,23 @@ SQL: dict[str, str] = {
         SELECT seq, job_id, attempt_id, current_cores, target_cores, containers,
                CASE WHEN seq IN (SELECT seq FROM fitting) THEN 'ISSUED' ELSE status END AS status,
                type FROM actions""",
+    "issue_partly_failed": f"""
+        WITH {ACTIONS}, {CAPACITY}, {heads("actions")}
+        SELECT seq, job_id, attempt_id, current_cores, target_cores, containers,
+               CASE WHEN seq IN (SELECT seq FROM fitting WHERE job_id NOT LIKE 'c%') THEN 'ISSUED'
+                    ELSE status END AS status,
+               type FROM actions""",
+    "issued_log": f"""
+        WITH {ACTIONS}, {CAPACITY}, {heads("actions")},
+        later AS (SELECT * FROM actions WHERE seq NOT IN (SELECT seq FROM fitting)),
+        {heads("later").replace("heads", "heads2").replace("fitting", "fitting2")}
+        SELECT {ACTION_COLUMNS} FROM fitting UNION ALL SELECT {ACTION_COLUMNS} FROM fitting2""",
     "action_round": f"""
-        WITH {ACTIONS}, {CAPACITY}, {proposals(screen='''(job_id, attempt_id) NOT IN
-          (SELECT (job_id, attempt_id) FROM actions WHERE job_id LIKE '%-1')''')} {FIRST_PROP},
+        WITH {ACTIONS}, {held("job_id LIKE '%-1'")}, {CAPACITY},
+        {proposals(screen='''(job_id, attempt_id) NOT IN
+          (SELECT (job_id, attempt_id) FROM held_actions)''')} {FIRST_PROP},
         held AS (
-          SELECT {ACTION_COLUMNS}, CAST(mb AS BIGINT) AS mb FROM actions WHERE job_id LIKE '%-1'
+          SELECT {ACTION_COLUMNS}, CAST(mb AS BIGINT) AS mb FROM held_actions
           UNION ALL
           SELECT 1000000000, job_id, attempt_id, current_cores, target_cores, containers,
                  'ENQUEUED', type, container_mb FROM firstprop
@@ -569,6 +667,22 @@ SQL: dict[str, str] = {
                CASE WHEN event_id % 14 = 0 THEN 'oops' ELSE CAST(value AS VARCHAR) END
         FROM envtree WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""",
     "metric_tree_round_trip": f"WITH {ENVELOPES} SELECT event_id, tree FROM envtree",
+    "metric_flatten_deep": """
+        SELECT event_id, rtrim(repeat('g/', event_id % 13), '/') AS path,
+               'v' AS name, event_type AS value FROM events""",
+    "metric_flatten_rejects": """
+        SELECT event_id, CASE WHEN event_id % 10 IN (1, 2, 3, 4, 5) THEN NULL ELSE 'v' END AS name,
+               CASE WHEN event_id % 10 IN (1, 2, 3, 4, 5) THEN NULL ELSE event_type END AS value,
+               CASE event_id % 10 WHEN 1 THEN 'no object' WHEN 2 THEN 'no object'
+                    WHEN 3 THEN 'malformed' WHEN 4 THEN 'duplicate key' WHEN 5 THEN 'missing' END
+                 AS reason
+        FROM events""",
+    "metric_clashes": """
+        WITH l AS (SELECT event_id, 'p' || CAST(event_id % 500 AS VARCHAR) AS process FROM events)
+        SELECT process, 'a' AS path, 'b' AS name, lpad(CAST(event_id AS VARCHAR), 9, '0') AS value
+        FROM l WHERE event_id % 3 = 0
+          AND (process IN (SELECT process FROM l WHERE event_id % 3 <> 0)
+               OR event_id < (SELECT max(event_id) FROM l k WHERE k.process = l.process))""",
     "sub_group_present": f"""
         WITH {ENVELOPES}
         SELECT event_id, is_worker AS worker, is_worker AND event_id % 11 <> 0 AS worker_cpu,
@@ -576,6 +690,19 @@ SQL: dict[str, str] = {
     "stream_click_count": f"""
         WITH {CLICKS} SELECT * FROM clicks
         WHERE epoch_us(window_end) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 - 200000 FROM events)""",
+    "processing_time_count": """
+        SELECT time_bucket(INTERVAL 15 SECOND, t) AS window_start,
+               time_bucket(INTERVAL 15 SECOND, t) + INTERVAL 15 SECOND AS window_end,
+               event_type AS page, count(*) AS count
+        FROM (SELECT event_type, ts + to_seconds(event_id % 60) AS t FROM events) GROUP BY ALL""",
+    "stream_late_clicks": f"""
+        WITH {LATE_CLICKS}
+        SELECT window_start, window_end, event_type AS page, count(*) AS count FROM placed
+        WHERE (seen IS NULL OR epoch_us(window_end) > seen)
+          AND epoch_us(window_end) <= (SELECT max(wm) FROM mark) GROUP BY ALL""",
+    "stream_redelivered_sum": f"""
+        WITH {ACCEPTED}, {points("sum(load)")}
+        SELECT job_id, attempt_id, bucket, round(v, 6) AS v FROM points""",
     "stream_evaluate": f"""
         WITH {proposals()} {FIRST_PROP}
         SELECT job_id, attempt_id, current_cores, target_cores, containers, 'ISSUED' AS status,

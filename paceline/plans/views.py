@@ -88,6 +88,21 @@ def flagged_messages(rows: DataFrame) -> DataFrame:
     )
 
 
+def crowded_messages(rows: DataFrame) -> DataFrame:
+    """Messages of jobs with more attempts at a time than are kept; a third is of one job."""
+    ts = to_millis(F.col("ts"))
+    return rows.select(
+        arrival().alias("arr"),
+        F.when(F.col("event_id") % 3 == 0, "hot").otherwise(job_id()).alias("job_id"),
+        F.concat(F.lit("c"), (F.col("event_id") * 31 % 7).cast("string")).alias("attempt_id"),
+        F.col("user_id").cast("string").alias("container"),
+        (F.col("event_id") % 16 != 1).alias("enabled"),
+        ts.alias("ts"),
+        (F.col("user_id") % 7 != 0).alias("is_worker"),
+        F.col("value").alias("load"),
+    )
+
+
 def job_config(rows: DataFrame) -> DataFrame:
     """Sizes of the jobs; those of event type ``view`` are left to the default."""
     n = F.col("user_id") % 20
@@ -138,6 +153,13 @@ def sizing_actions(rows: DataFrame) -> DataFrame:
     )
 
 
+def held_actions(rows: DataFrame, current: Column) -> DataFrame:
+    """Every event as an action; those that are not current are about an earlier numbering of
+    the attempts, so they hold none of today's."""
+    attempt = F.when(current, F.col("attempt_id")).otherwise(F.concat(F.lit("old-"), "attempt_id"))
+    return sizing_actions(rows).withColumn("attempt_id", attempt)
+
+
 def flat_actions(actions: DataFrame) -> DataFrame:
     """Actions with their sizes as plain columns; an unknown current size reads as 0."""
     return actions.select(
@@ -224,6 +246,40 @@ def tree_json() -> Column:
     )
 
 
+def deep_trees(rows: DataFrame) -> DataFrame:
+    """Every event as a chain of groups, as deep as its number says, with a metric at its end."""
+    n = (F.col("event_id") % 13).cast("int")
+    metric = F.concat(F.lit('{"v":"'), F.col("event_type"), F.lit('"}'))
+    tree = F.concat(F.repeat(F.lit('{"g":'), n), metric, F.repeat(F.lit("}"), n))
+    return rows.select("event_id", tree.alias("tree"))
+
+
+def broken_trees(rows: DataFrame) -> DataFrame:
+    """Every event as a small tree; some are lists, cut short, name a key twice or are missing."""
+    whole = F.concat(F.lit('{"a":{"v":"'), F.col("event_type"), F.lit('"}}'))
+    n = F.col("event_id") % 10
+    tree = (
+        F.when(n == 1, F.lit("[1]"))
+        .when(n == 2, F.expr("substring(event_type, 1, 4)"))
+        .when(n == 3, F.substring(whole, 1, 6))
+        .when(n == 4, F.lit('{"a":"1","a":"2"}'))
+        .when(n != 5, whole)
+    )
+    return rows.select("event_id", tree.alias("tree"))
+
+
+def clashing_leaves(rows: DataFrame) -> DataFrame:
+    """Every event as a metric; some are named like a group that another one stands in."""
+    process = F.concat(F.lit("p"), (F.col("event_id") % 500).cast("string"))
+    n = F.col("event_id") % 3
+    path = F.when(n == 0, F.array(F.lit("a"))).otherwise(F.array(F.lit("a"), F.lit("b")))
+    name = F.when(n == 0, "b").otherwise(F.concat(F.lit("m"), F.col("event_id").cast("string")))
+    return rows.select(
+        process.alias("process"), path.alias("path"), name.alias("name"),
+        F.format_string("%09d", "event_id").alias("value"),
+    )
+
+
 def header_map() -> Column:
     """Label map of an event; the attempt is empty for some and the job missing for some."""
     attempt = F.when(F.col("event_id") % 19 == 0, F.lit("")).otherwise(

@@ -41,7 +41,6 @@ MESSAGES = T.StructType(
     ]
 )
 
-JOB_CONFIG = T.StructType([T.StructField("job_id", T.StringType()), *JOB_SIZE.fields])
 
 CAPACITY = T.StructType(
     [
@@ -51,27 +50,6 @@ CAPACITY = T.StructType(
     ]
 )
 
-JOB_STATE = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("attempt_id", T.StringType()),
-        T.StructField("created", T.LongType()),
-        T.StructField("first_time", T.LongType()),
-        T.StructField("last_time", T.LongType()),
-        T.StructField("size", JOB_SIZE),
-    ]
-)
-
-# One value per (deployment, time bucket); `bucket` is the bucket start in epoch millis.
-METRIC_POINTS = T.StructType(
-    [
-        T.StructField("job_id", T.StringType()),
-        T.StructField("attempt_id", T.StringType()),
-        T.StructField("bucket", T.LongType()),
-        T.StructField("v", T.DoubleType()),
-    ]
-)
-
 SIZING_ACTIONS = T.StructType(
     [
         T.StructField("seq", T.LongType()),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from paceline.functions.rows import compute_once
 from paceline.functions.times import CLICK_PATTERN, parse_click_time
-from paceline.schemas import CLICK_JSON, DIAGNOSTICS_JSON, JOB_CONFIG
+from paceline.schemas import CLICK_JSON, DIAGNOSTICS_JSON
 
 
 def bus_stream(
@@ -70,10 +70,6 @@ def decode_diagnostics(records: DataFrame, *, value: str = "value") -> DataFrame
     return compute_once(records, message, DIAGNOSTICS_JSON.names, rest)
 
 
-def job_config_table(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(JOB_CONFIG).parquet(path)
-
-
 def job_config_from_properties(properties: DataFrame) -> DataFrame:
     """(job_id, key, value) rows → one configuration row per job."""
     # Property names of a job's size.

@@ -61,10 +61,11 @@ def to_files(rows: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
     return writer.option("path", path).option("checkpointLocation", checkpoint)
 
 
-def append_issued(path: str):
-    """Enforcer that records the issued actions in a table."""
+def record_issued(path: str, step: int):
+    """Enforcer that records the issued actions of a step in a table; all of them count as
+    applied. A step that runs again replaces what it recorded."""
 
     def enforce(issued: DataFrame) -> None:
-        issued.write.mode("append").parquet(path)
+        issued.write.mode("overwrite").parquet(f"{path}/step={step}")
 
     return enforce

@@ -3,9 +3,11 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paceline.operators.buckets import dedupe_deliveries
 from paceline.plans import views
 from paceline.session import run_dir
 from paceline.sources.readers import file_stream
+from paceline.sources.writers import to_files
 from paceline.streaming.clicks import count_to_files
 from paceline.streaming.scaler import Scaler, StateTables
 
@@ -29,6 +31,44 @@ def click_count(spark: SparkSession, folder: str) -> DataFrame:
     return counts.withColumns(wall_clock)
 
 
+def late_clicks(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
+    """Counts of clicks that come in files by time, every fiftieth of the first half two later.
+
+    A file is a micro-batch. A batch drops what is older than the watermark that the batch
+    before it began with, so a click that comes one file late still counts.
+    """
+    run = run_dir(spark)
+    rows = views.events(spark, folder)
+    ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
+    micros = {k: F.unix_micros(F.lit(ends[k]).cast("timestamp_ntz").cast("timestamp")) for k in "ab"}
+    place = F.unix_micros(F.col("ts").cast("timestamp")) - micros["a"]
+    width = micros["b"] + 1 - micros["a"]
+    number = F.floor(place * files / width)
+    late = (F.col("event_id") % 50 == 0) & (number < files - 2)
+    number = number + F.when(late, 2).otherwise(0)
+    parts = rows.withColumn("file", number)
+    for k in range(files):  # one after the other: a stream reads files by age
+        parts.filter(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{run}/in/file={k}")
+    clicks = file_stream(spark, f"{run}/in/file=*", rows, maxFilesPerTrigger=1)
+    count_to_files(
+        clicks.withColumn("ts", F.col("ts").cast("timestamp")),
+        f"{run}/counts", f"{run}/checkpoint", trigger=ALL_INPUT, page="event_type",
+    ).awaitTermination()
+    counts = spark.read.parquet(f"{run}/counts")
+    wall_clock = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    return counts.withColumns(wall_clock)
+
+
+def delivered_once(spark: SparkSession, folder: str) -> DataFrame:
+    """The messages of a stream that brings every one twice, after the copies were dropped."""
+    run = run_dir(spark)
+    messages = views.messages(_event_stream(spark, folder))
+    twice = messages.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+    once = dedupe_deliveries(twice, ["arr"], "10 minutes")
+    to_files(once, f"{run}/once", f"{run}/checkpoint").trigger(**ALL_INPUT).start().awaitTermination()
+    return spark.read.parquet(f"{run}/once")
+
+
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
     """The action queue after the scaler has read all events as messages."""
     run = run_dir(spark)

@@ -22,11 +22,11 @@ from paceline.operators.arrival import gate
 from paceline.operators.buckets import bucket, retained
 from paceline.operators.fold import LIFE, read_lives
 from paceline.operators.state import latest_attempts, with_size
-from paceline.plans.cycle import Enforcer, issue_round, queue_round
+from paceline.plans.cycle import Enforcer, Fresh, issue_round, now_read, queue_round
 from paceline.plans.evaluate import Now, candidates, decide
 from paceline.plans.policies import Settings
 from paceline.schemas import JOB_SIZE, SIZING_ACTIONS
-from paceline.session import saving_to
+from paceline.session import saved, saving_to
 
 # `life` of a remembered attempt is the arrival number of its first message.
 ATTEMPTS = T.StructType(
@@ -133,20 +133,47 @@ def advance(
 
 @dataclass
 class Scaler:
-    """A micro-batch step: remember, evaluate, queue, issue."""
+    """A micro-batch step: remember, evaluate, queue, issue.
+
+    Sizes and capacity that are given as functions are read anew in every step. ``enforce``
+    gets the number of the step and gives the enforcer for it, so that a step that runs again
+    can replace what it recorded.
+    """
 
     tables: StateTables
     settings: Settings
     now_ms: Now | None = None
-    job_config: DataFrame | None = None
-    capacity: DataFrame | None = None
-    enforce: Enforcer | None = None
+    job_config: Fresh = None
+    capacity: Fresh = None
+    enforce: Callable[[int], Enforcer] | None = None
     last_step: int = -1
 
     def step(self, batch: DataFrame, step: int) -> None:
         with saving_to(self.tables.scratch(step)):
             self._step(batch, step)
 
+    def tick(self, spark: SparkSession) -> DataFrame:
+        """A round without input, for a scheduler to call between batches: evaluates at the
+        present time, and retries heads that were held back. Returns the queue, which takes the
+        place of that of the last step; running it again repeats the round."""
+        step = self.last_step
+        with saving_to(self.tables.scratch(step) + "-tick"):
+            attempts, points = (self.tables.read(spark, n, step) for n in ("attempts", "points"))
+            queue = saved(self.tables.read(spark, "actions", step))
+            return self._round(attempts, points, queue, step)
+
+    def _round(
+        self, attempts: DataFrame, points: DataFrame, queue: DataFrame, step: int
+    ) -> DataFrame:
+        now = self.now_ms if self.now_ms is not None else int(time.time() * 1000)
+        now = now(attempts) if callable(now) else now
+        latest = candidates(latest_attempts(attempts), self.settings, now, queue)
+        proposals = decide(latest, points, self.settings)
+        queue = queue_round(queue, proposals, step, self.settings)
+        enforce = self.enforce(step) if self.enforce else None
+        queue, _ = issue_round(queue, self.capacity, enforce)
+        return self.tables.write(queue, "actions", step)
+
     def _step(self, batch: DataFrame, step: int) -> None:
         spark = batch.sparkSession
         batch = batch.persist()
@@ -157,16 +184,9 @@ class Scaler:
                 batch,
                 self.settings,
                 lambda rows, name: self.tables.write(rows, name, step),
-                self.job_config,
+                now_read(self.job_config),
             )
-            queue = self.tables.read(spark, "actions", step - 1)
-            now = self.now_ms if self.now_ms is not None else int(time.time() * 1000)
-            now = now(attempts) if callable(now) else now
-            latest = candidates(latest_attempts(attempts), self.settings, now, queue)
-            proposals = decide(latest, points, self.settings)
-            queue = queue_round(queue, proposals, step, self.settings)
-            queue, _ = issue_round(queue, self.capacity, self.enforce)
-            self.tables.write(queue, "actions", step)
+            self._round(attempts, points, self.tables.read(spark, "actions", step - 1), step)
             self.last_step = step
         finally:
             batch.unpersist()

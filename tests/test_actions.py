@@ -10,7 +10,7 @@ from paceline.operators.arrival import newest_per_key
 from paceline.plans.cycle import issue_round, queue_round
 from paceline.plans.policies import Settings
 from paceline.schemas import CAPACITY, SIZING_ACTIONS
-from paceline.sources.writers import append_issued
+from paceline.sources.writers import record_issued
 
 SMALL, BIG = (1024, 4, 1), (1024, 8, 1)
 
@@ -67,8 +67,10 @@ def test_failed_enforcement_is_tried_again(spark, tmp_path):
     after, issued = issue_round(queue, enforce=fail)
     assert statuses(after) == {1: "ENQUEUED"} and issued.isEmpty()
     log = str(tmp_path / "issued")
-    after, _ = issue_round(after, enforce=append_issued(log))
+    after, _ = issue_round(after, enforce=record_issued(log, 3))
     assert statuses(after) == {1: "ISSUED"} and spark.read.parquet(log).count() == 1
+    issue_round(queue, enforce=record_issued(log, 3))  # the step runs again
+    assert spark.read.parquet(log).count() == 1
 
 
 def test_the_oldest_action_is_dropped(spark):

@@ -10,7 +10,7 @@ from paceline.operators.ingest import parse_messages, split_rejects
 from paceline.operators.registry import (
     current_metrics, first_labels, header_map, snapshot_messages, split_scopes,
 )
-from paceline.operators.tree import build_tree, flatten_tree
+from paceline.operators.tree import build_tree, flatten_tree, split_clashes, split_trees
 from paceline.sources.readers import decode_clicks, decode_diagnostics, job_config_from_properties
 from paceline.sources.writers import encode_click, encode_diagnostics
 
@@ -194,3 +194,33 @@ def test_split_rejects_parts_the_rows(spark):
     rows = spark.createDataFrame([(0, envelope()), (1, "no")], "arr bigint, value string")
     good, bad = split_rejects(parse_messages(decode_diagnostics(rows)))
     assert [r.arr for r in good.collect()] == [0] and [r.arr for r in bad.collect()] == [1]
+
+
+def test_deep_trees_and_rejects(spark):
+    """No depth is too deep, and what cannot be read comes out with a reason."""
+    deep = {"v": "end"}
+    for k in range(25):
+        deep = {f"g{k}": deep}
+    texts = [json.dumps(deep), '{"a":"1"}', "[1]", '"x"', "", None, '{"a":', '{"a":1,"a":2}', "{}"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    good, bad = split_trees(rows, "t")
+    assert {r.id: r.reason for r in bad.collect()} == {
+        2: "no object", 3: "no object", 4: "no object", 5: "missing", 6: "malformed",
+        7: "duplicate key",
+    }
+    leaves = flatten_tree(good, "t", ["id"]).collect()
+    assert {(r.id, len(r.path), r.name, r.value) for r in leaves} == {(0, 25, "v", "end"), (1, 0, "a", "1")}
+    shallow = flatten_tree(good.filter("id = 0"), "t", ["id"], depth=2).first()
+    assert len(shallow.path) == 1 and json.loads(shallow.value) == deep["g24"]["g23"]
+
+
+def test_a_group_wins_over_a_metric_of_its_name(spark):
+    leaves = spark.createDataFrame(
+        [(1, ["A"], "B", "1"), (1, ["A", "B"], "c", "2"), (1, ["A"], "BB", "3"), (1, ["A"], "x", "4"),
+         (1, ["A"], "x", "5"), (1, [], "A", "6"), (2, ["A"], "B", "7"), (3, ["g"], None, None), (3, [], "g", "8")],
+        "id int, path array<string>, name string, value string",
+    )
+    kept, rejected = split_clashes(leaves, ["id"])
+    assert {r.value for r in rejected.collect()} == {"1", "4", "6", "8"} and kept.count() == 5
+    built = {r.id: r.tree for r in build_tree(leaves, ["id"]).collect()}
+    assert built == {1: '{"A":{"B":{"c":"2"},"BB":"3","x":"5"}}', 2: '{"A":{"B":"7"}}', 3: '{"g":{}}'}

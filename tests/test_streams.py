@@ -12,6 +12,7 @@ from paceline.plans.evaluate import evaluate
 from paceline.plans.policies import Settings
 from paceline.schemas import MESSAGES
 from paceline.sources.readers import decode_clicks, text_lines
+from paceline.sources.writers import to_files
 from paceline.streaming.clicks import count_to_files
 from paceline.streaming.scaler import Scaler, StateTables
 from tests import model
@@ -127,3 +128,35 @@ def test_the_size_is_frozen_when_a_deployment_is_first_seen(spark, tmp_path):
 def test_redelivered_messages_are_dropped(spark):
     rows = frame(spark, messages(3, 40))
     assert dedupe_deliveries(rows.unionByName(rows), ["arr"], "1 minute").count() == 40
+
+
+def test_redelivered_messages_are_dropped_in_a_stream(spark, tmp_path):
+    rows = frame(spark, messages(3, 40))
+    rows.unionByName(rows).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
+    once = dedupe_deliveries(stream, ["arr"], "1 minute")
+    assert once.columns == rows.columns
+    to_files(once, str(tmp_path / "out"), str(tmp_path / "log")).trigger(availableNow=True).start().awaitTermination()
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 40
+
+
+def test_a_round_without_input_retries_what_was_held_back(spark, tmp_path):
+    """The capacity is read anew in every round."""
+    free = [0]
+    proposed = [("j", "a", 4, 6)]
+
+    def capacity():
+        return spark.createDataFrame([("j", free[0], 10**6)], "job_id string, free_cores int, free_mb int")
+
+    tables = StateTables(str(tmp_path / "state"))
+    scaler = Scaler(tables, Settings(), now_ms=0, capacity=capacity)
+    size = "named_struct('container_mb', 1024, 'container_num_cores', {}, 'container_count', 1)"
+    rows = spark.createDataFrame(proposed, "job_id string, attempt_id string, c int, t int").selectExpr(
+        "0L as seq", "job_id", "attempt_id", size.format("c") + " as current_size",
+        size.format("t") + " as target_size", "'ENQUEUED' as status", "'JOB_VCORE_SCALEUP' as type",
+    )
+    scaler.step(frame(spark, messages(3, 5)), 0)
+    tables.write(rows, "actions", 0)
+    assert [r.status for r in scaler.tick(spark).collect()] == ["ENQUEUED"]
+    free[0] = 2
+    assert [r.status for r in scaler.tick(spark).collect()] == ["ISSUED"]
