@@ -166,3 +166,69 @@ select f.doc_id, f.path, coalesce(own.license, up.license) as license,
   case when own.license is null then up.license_dir end as license_dir
 from files f left join own on own.path = f.path left join up on up.path = f.path
 """
+
+
+def secrets_sql(patterns, rule, mark: str, spare: str) -> str:
+    """The secret scan over documents, with the same patterns and rule."""
+    kinds = [(p.kind, p.regex, p.group, p.least) for p in patterns]
+    kinds.append((rule.kind, rule.candidate, 0, 0))
+
+    def quoted(text: str) -> str:
+        return "'" + text.replace("'", "''") + "'"
+
+    pieces = " UNION ALL ".join(
+        f"select doc_id, {i} as k, {quoted(kind)} as kind, {least} as least, "
+        f"string_split(regexp_replace(t, {quoted('(' + regex + ')')}, '{mark}\\1{mark}', 'g'), '{mark}') as parts, "
+        f"{quoted(regex)} as regex, {group} as grp from d where regexp_matches(t, {quoted(regex)})"
+        for i, (kind, regex, group, least) in enumerate(kinds)
+    )
+    secret = " ".join(
+        f"when k = {i} then regexp_extract(v, {quoted(regex)}, {group})"
+        for i, (_, regex, group, _) in enumerate(kinds)
+    )
+    allowed = " or ".join(
+        f"regexp_full_match(v, {quoted(x)})" for x in rule.allowed if "\\1" not in x
+    )
+    digits, hexes, mixed = (c.bits for c in rule.classes)
+    last = len(patterns)
+    return f"""
+with d as (
+  select doc_id, replace(coalesce(text, ''), '{mark}', '{spare}') as t from documents
+), pieces as ({pieces}
+), placed as (
+  select doc_id, k, kind, least, v, ord,
+    coalesce(sum(length(v)) over (partition by doc_id, k order by ord rows between unbounded preceding and 1 preceding), 0) as a
+  from (select doc_id, k, kind, least, unnest(parts) as v, generate_subscripts(parts, 1) as ord from pieces)
+), found as (
+  select doc_id, k, kind, a, a + length(v) as b, v from placed
+  where ord % 2 = 0 and (k = {last} or length(case {secret} end) >= least)
+), limits as (
+  select doc_id, a, v, case when regexp_full_match(v, '[0-9]+') then {digits}
+    when regexp_full_match(v, '[0-9a-fA-F]+') then {hexes}
+    when regexp_matches(v, '[A-Za-z]') then {mixed} end as bits
+  from found where k = {last} and regexp_matches(v, '[0-9]') and not ({allowed})
+    and v <> repeat(v[1], length(v))
+), windows as (
+  select doc_id, a, i from limits, unnest(range(0, length(v) - {rule.window - 1})) as t(i)
+  where list_aggregate(string_split(substr(v, i + 1, {rule.window}), ''), 'entropy') >= bits
+), base as (
+  select doc_id, k, kind, a, b from found where k < {last}
+), high as (
+  select doc_id, {last} as k, '{rule.kind}' as kind, a + min(i) as a, a + max(i) + {rule.window} as b
+  from windows group by doc_id, windows.a
+), fresh as (
+  select * from high h where not exists (
+    select 1 from base x where x.doc_id = h.doc_id and x.a <= h.a and x.b >= h.b)
+), listed as (
+  select *, kind || ':' || cast(a as varchar) || ':' || cast(b as varchar) as s
+  from (select * from base union all select * from fresh)
+), told as (
+  select doc_id, count(*) filter (kind = 'assign') as n_assign, count(*) filter (kind = 'access') as n_access,
+    count(*) filter (kind = 'hex') as n_hex, string_agg(s, ',' order by a, k) filter (k < {last}) as base,
+    string_agg(s, ',' order by a, k) as spans
+  from listed group by doc_id
+)
+select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access,
+  coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
+from d left join told using (doc_id)
+"""

@@ -98,6 +98,9 @@ SQL: dict[str, str] = {
     "op2_near_join": counterparts.SIMILAR,
     "op3_chat_format": counterparts.CHAT,
     "op4_repeated_bytes": counterparts.REPEATED,
+    "op5_secret_scan": counterparts.secrets_sql(
+        secrets.PATTERNS, secrets.Entropy(), secrets.MARK, secrets.SPARE
+    ),
     "op7_license_scan": counterparts.licenses_sql(
         licenses.TEMPLATES, licenses.Settings().anchors, licenses.Settings().terms
     ),

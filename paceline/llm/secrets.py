@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Stands around a match; where a text holds it itself, another character takes its place.
-MARK, SPARE = "", ""
+MARK, SPARE = "\ue000", "\ue001"
 
 
 @dataclass(frozen=True)
