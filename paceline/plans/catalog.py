@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paceline.functions.sizes import (
-    resize_cores, size_struct, total_cores, total_memory_mb, within_limit,
+    resize_cores, total_cores, total_memory_mb, within_limit,
 )
 from paceline.functions.text import full_match
 from paceline.functions.times import DAY_MS, to_millis

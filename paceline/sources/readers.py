@@ -10,15 +10,23 @@ from paceline.schemas import CLICK_JSON, DIAGNOSTICS_JSON
 
 
 def bus_stream(
-    spark: SparkSession, servers: str, topic: str, *, starting: str = "latest", **options
+    spark: SparkSession,
+    servers: str,
+    topic: str,
+    *,
+    starting: str = "latest",
+    per_batch: int = 50_000_000,
+    **options,
 ) -> DataFrame:
-    """Message-bus source (needs the Kafka connector jar of the cluster).
+    """Message-bus source (needs the Kafka connector jar of the cluster); ``per_batch`` bounds
+    the messages of a micro-batch.
 
     ``arr`` is the offset. Producers that key by job put all messages of a job into one
     partition, so the offset orders the messages of every job.
     """
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
     reader = reader.option("subscribe", topic).option("startingOffsets", starting)
+    reader = reader.option("maxOffsetsPerTrigger", per_batch)
     return with_bus_arrival(reader.options(**options).load())
 
 
@@ -34,9 +42,13 @@ def with_bus_arrival(records: DataFrame) -> DataFrame:
     )
 
 
-def file_stream(spark: SparkSession, glob: str, like: DataFrame, **options) -> DataFrame:
-    """Stream over parquet files; the schema is taken from a table of the same shape."""
-    return spark.readStream.schema(like.schema).options(**options).parquet(glob)
+def file_stream(
+    spark: SparkSession, glob: str, like: DataFrame, *, per_batch: int = 1000, **options
+) -> DataFrame:
+    """Stream over parquet files; the schema is taken from a table of the same shape.
+    ``per_batch`` bounds the files of a micro-batch."""
+    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch)
+    return reader.options(**options).parquet(glob)
 
 
 def text_lines(spark: SparkSession, path: str, *, stream: bool = False) -> DataFrame:

@@ -49,7 +49,7 @@ def late_clicks(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
     parts = rows.withColumn("file", number)
     for k in range(files):  # one after the other: a stream reads files by age
         parts.filter(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{run}/in/file={k}")
-    clicks = file_stream(spark, f"{run}/in/file=*", rows, maxFilesPerTrigger=1)
+    clicks = file_stream(spark, f"{run}/in/file=*", rows, per_batch=1)
     count_to_files(
         clicks.withColumn("ts", F.col("ts").cast("timestamp")),
         f"{run}/counts", f"{run}/checkpoint", trigger=ALL_INPUT, page="event_type",

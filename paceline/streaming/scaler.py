@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from paceline.operators.arrival import gate
-from paceline.operators.buckets import bucket, retained
+from paceline.operators.buckets import bucket, dedupe_deliveries, retained
 from paceline.operators.fold import LIFE, read_lives
 from paceline.operators.state import latest_attempts, with_size
 from paceline.plans.cycle import Enforcer, Fresh, issue_round, now_read, queue_round
@@ -191,7 +191,21 @@ class Scaler:
         finally:
             batch.unpersist()
 
-    def start(self, messages: DataFrame, checkpoint: str, *, trigger: dict) -> StreamingQuery:
-        """Run on a stream of message rows; ``trigger`` as for ``DataStreamWriter.trigger``."""
+    def start(
+        self,
+        messages: DataFrame,
+        checkpoint: str,
+        *,
+        trigger: dict,
+        ids: list[str] | None = None,
+        watermark: str = "10 minutes",
+    ) -> StreamingQuery:
+        """Run on a stream of message rows; ``trigger`` as for ``DataStreamWriter.trigger``.
+
+        With ``ids``, the columns that tell a message, redelivered ones are dropped; they are
+        remembered for as long as the watermark on the event time lets them come.
+        """
+        if ids:
+            messages = dedupe_deliveries(messages, ids, watermark)
         writer = messages.writeStream.foreachBatch(self.step)
         return writer.option("checkpointLocation", checkpoint).trigger(**trigger).start()

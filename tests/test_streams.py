@@ -91,7 +91,8 @@ def test_scaler_state_after_many_batches(spark, tmp_path, seed, off, max_attempt
     }
 
 
-def test_scaler_on_a_file_stream(spark, tmp_path):
+@pytest.mark.parametrize("copies,ids", [(1, None), (2, ["job_id", "arr"])])
+def test_scaler_on_a_file_stream(spark, tmp_path, copies, ids):
     rows = messages(36, 2000, jobs=8, attempts=2)
     for row in rows:
         if int(row["job_id"][1:]) % 2:
@@ -101,10 +102,10 @@ def test_scaler_on_a_file_stream(spark, tmp_path):
         max_staleness_ms=10**9,
     )
     source = str(tmp_path / "in")
-    frame(spark, rows).coalesce(1).write.parquet(source)
+    frame(spark, rows * copies).coalesce(1).write.parquet(source)
     scaler = Scaler(StateTables(str(tmp_path / "state")), settings, now_ms=rows[-1]["ts"])
     stream = spark.readStream.schema(MESSAGES).parquet(source)
-    scaler.start(stream, str(tmp_path / "log"), trigger=NOW).awaitTermination()
+    scaler.start(stream, str(tmp_path / "log"), trigger=NOW, ids=ids).awaitTermination()
     queue = scaler.tables.read(spark, "actions", scaler.last_step).collect()
     expected = evaluate(frame(spark, rows), settings, rows[-1]["ts"]).collect()
     assert expected and {(r.job_id, r.type, r.target_size) for r in queue} == {
