@@ -64,12 +64,23 @@ def test_hits_and_spans(spark):
     )
 
 
-def test_empty_tables_and_the_size_check(spark):
+def test_empty_tables(spark):
     docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     none = decontaminate.contamination(docs, items.limit(0)).collect()
     assert len(none) == len(TEXTS) and not any(r.contaminated for r in none)
     assert decontaminate.contamination(docs.limit(0), items).count() == 0
     assert decontaminate.clean(docs, items.limit(0)).count() == len(TEXTS)
-    with pytest.raises(ValueError):
-        decontaminate.automaton(items, max_bytes=10)
+
+
+@pytest.mark.parametrize("max_bytes", [60, 250])
+def test_a_benchmark_in_parts(spark, max_bytes):
+    docs = spark.createDataFrame(TEXTS, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    owned, parts = decontaminate.dealt_windows(items, 10, max_bytes)
+    assert parts > 1 and owned.select("window").distinct().count() == owned.count()
+    whole = decontaminate.contamination(docs, items).collect()
+    found = decontaminate.contamination(docs, items, max_bytes=max_bytes).collect()
+    assert sorted(map(str, found)) == sorted(map(str, whole))
+    kept = decontaminate.clean(docs, items, max_bytes=max_bytes).collect()
+    assert sorted(map(str, kept)) == sorted(map(str, decontaminate.clean(docs, items).collect()))
