@@ -174,14 +174,17 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
             ).alias("up")
         )
     )
+    # The columns of a file travel as one, so that none of them can clash with those added here.
+    kept = [c for c in files.columns if c != "text"]
     return (
-        files.drop("text")
-        .withColumn("dir", parent(F.col("path")))
-        .join(own, files["path"].eqNullSafe(own["path"]), "left")
+        files.select(
+            F.struct(*(F.col(f"`{c}`") for c in kept)).alias("file"), parent(F.col("path")).alias("dir")
+        )
+        .join(own, F.col("file").getField("path").eqNullSafe(own["path"]), "left")
         .drop(own["path"])
         .join(near, "dir", "left")
         .select(
-            *files.drop("text").columns,
+            *(F.col("file").getField(c).alias(c) for c in kept),
             F.coalesce("license", "up.dir_license").alias("license"),
             F.when(F.col("license").isNotNull(), F.when(F.col("is_file"), "file").otherwise("header"))
             .when(F.col("up").isNotNull(), "inherited")

@@ -88,3 +88,14 @@ def test_scores_and_inheritance(spark):
 
 def test_empty_table(spark):
     assert licenses.licensed(spark.createDataFrame([], "path string, text string")).count() == 0
+
+
+def test_columns_that_share_names_with_inner_ones(spark):
+    files = spark.createDataFrame(FILES, "path string, text string")
+    names = ["dir", "is_file", "up", "best", "size", "file", "line", "dir_license"]
+    more = files.selectExpr("*", *(f"concat('{n}', path) as {n}" for n in names))
+    found = licenses.licensed(more)
+    assert found.columns == ["path", *names, "license", "how", "score", "license_dir"]
+    plain = sorted(map(str, licenses.licensed(files).collect()))
+    assert sorted(map(str, found.drop(*names).collect())) == plain
+    assert all(r.path is None or r[n] == n + r.path for r in found.collect() for n in names)
