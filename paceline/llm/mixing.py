@@ -104,26 +104,35 @@ def constants(values: tuple[float, ...]) -> Column:
     return F.split(F.lit(",".join(map(repr, values))), ",").cast("array<double>")
 
 
-def log_likelihood(prior: float, weights: Column) -> Column:
-    return F.aggregate("_words", F.lit(prior), lambda acc, b: acc + F.get(weights, b))
+def log_likelihood(words: str, prior: float, weights: Column) -> Column:
+    return F.aggregate(words, F.lit(prior), lambda acc, b: acc + F.get(weights, b))
+
+
+def free(name: str, rows: DataFrame) -> str:
+    """The name, made longer until no column of the rows has it in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def with_posteriors(docs: DataFrame, model: Model, settings: Settings) -> DataFrame:
     """The documents with n_tokens and domains, an array of the chances in order of the names."""
-    counted = docs.withColumn("_words", tokens(F.col("text"), settings.buckets))
+    words, sums = free("_words", docs), free("_scores", docs)
+    counted = docs.withColumn(words, tokens(F.col("text"), settings.buckets))
     scores = [
-        log_likelihood(prior, constants(weights))
+        log_likelihood(words, prior, constants(weights))
         for prior, weights in zip(model.prior, model.weights, strict=True)
     ]
-    scored = counted.withColumn("_scores", F.array(*scores) if scores else F.array(F.lit(0.0)))
-    odds = F.transform("_scores", lambda s: F.exp(s - F.array_max("_scores")))
+    scored = counted.withColumn(sums, F.array(*scores) if scores else F.array(F.lit(0.0)))
+    odds = F.transform(sums, lambda s: F.exp(s - F.array_max(sums)))
     share = F.transform(
         odds, lambda x: x / F.aggregate(odds, F.lit(0.0), lambda acc, y: acc + y)
     )
     return (
-        scored.withColumn("n_tokens", F.size("_words").cast("long"))
+        scored.withColumn("n_tokens", F.size(words).cast("long"))
         .withColumn("domains", share)
-        .drop("_words", "_scores")
+        .drop(words, sums)
     )
 
 

@@ -79,3 +79,12 @@ def test_without_labels_or_documents(spark, tables):
     rows = mixing.rates(docs, labels.limit(0)).collect()
     assert len(rows) == len(every) and {(r.rate, r.copies) for r in rows} == {(1.0, 1)}
     assert mixing.rates(docs.limit(0), labels).count() == 0
+
+
+def test_columns_that_share_names_with_inner_ones(spark, tables):
+    docs, labels, every = tables
+    settings = mixing.Settings(buckets=64)
+    named = docs.selectExpr("*", "doc_id as _words", "-doc_id as _scores", "'x' as rate")
+    rows = mixing.mixed_documents(named, labels, settings).collect()
+    assert len(rows) == len(every) and all(r.rate >= 0 for r in rows)
+    assert all(r.doc_id is None or (r["_words"], r["_scores"]) == (r.doc_id, -r.doc_id) for r in rows)
