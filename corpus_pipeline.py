@@ -3,15 +3,21 @@
 Each stage takes all documents that the one before it kept. A stage's function takes
 (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the
 documents of the next one. All but the last return the columns of documents; the last adds
-n_tokens, domains, rate and copies.
+n_tokens, domains, rate and copies. Columns that documents has beside its own pass through under
+any name; only those with the names of what the last stage adds are replaced there.
 """
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paceline.llm import decontaminate, langid, mixing, near_join, secrets
 from paceline.session import prepare, run_dir
 
+#: The columns of documents.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Least posterior of a language.
 SURE = 0.5
 
@@ -20,6 +26,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def beside(stage: Stage) -> Stage:
+    """Hand a stage the columns of documents and all others as one, so that no name can clash."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        own = [c for c in docs.columns if c in COLUMNS]
+        if len(own) == len(docs.columns):
+            return stage(spark, docs, sf_dir)
+        others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS))
+        out = stage(spark, docs.select(*own, others.alias("others")), sf_dir)
+        new = [c for c in out.columns if c not in (*own, "others")]
+        kept = (
+            F.col(c) if c in own else F.col("others").getField(c).alias(c)
+            for c in docs.columns
+            if c not in new
+        )
+        return out.select(*kept, *new)
+
+    return run
+
+
+@beside
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language that the labelled ones teach; lang becomes the predicted one.
 
@@ -32,6 +63,7 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 
+@beside
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar ones.
 
@@ -50,11 +82,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return named.union(docs.where("doc_id is null").select(named.columns)).select(docs.columns)
 
 
+@beside
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any window of a benchmark item."""
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
+@beside
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets replaced by a notice; n_chars follows the text."""
     out = secrets.redact(secrets.scan(docs)).withColumn(
@@ -63,6 +97,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.select(docs.columns)
 
 
+@beside
 def weighted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with the rate at which to take each for the target mix of domains."""
     return mixing.mixed_documents(docs, table(spark, sf_dir, "labels"))

@@ -65,5 +65,24 @@ def test_stages_keep_the_columns_and_take_empty_tables(spark, tmp_path):
         docs = out
 
 
+def test_columns_beside_those_of_documents_pass_through(spark, tmp_path):
+    """Under names that operators use for their results or inside."""
+    rows = tables(spark, tmp_path)
+    names = ["lang_pred", "score", "_rank", "fp", "sig", "class_id", "base", "secrets", "others", "_words", "rate", "a.b"]
+    plain = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    named = plain.selectExpr("*", *(f"concat('{n}', doc_id) as `{n}`" for n in names))
+    assert named.count() == len(rows)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        last = k == len(corpus_pipeline.STAGES) - 1
+        out = stage(spark, named, str(tmp_path))
+        left = [n for n in names if not (last and n == "rate")]
+        assert out.columns[: 5 + len(left)] == [*plain.columns, *left]
+        found = out.collect()
+        assert all(r.doc_id is None or r[n] == f"{n}{r.doc_id}" for r in found for n in left)
+        same = stage(spark, plain, str(tmp_path))
+        want = sorted(str((r.doc_id, r.text, r.lang)) for r in same.collect())
+        assert sorted(str((r.doc_id, r.text, r.lang)) for r in found) == want
+
+
 def test_every_operator_is_registered():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
