@@ -3,7 +3,8 @@
 Texts with the same shingles are one class; one signature stands for all of them. A signature is
 cut into trees of a few labels each. Prefixes of a tree's labels are the paths of its trie: texts
 that share a path are candidates. The first round asks for the longest prefixes; later ones
-shorten them until pairs as dissimilar as those found so far are found with the target recall.
+shorten them, by what was found, down to the length that finds pairs at the threshold with the
+target recall.
 """
 
 import hashlib
@@ -317,15 +318,15 @@ def near_join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             F.first("sig").alias("sig"),
         )
     )
-    depths, parts = [settings.depth], []
+    depths, parts, last = [settings.depth], [], settings.depth_for(settings.threshold)
     while True:
         part = saved(candidates(classes, depths, settings))
         parts.append(part.withColumn("depth", F.lit(depths[-1])))
-        low = part.agg(F.min("low")).first()[0]
-        low = settings.threshold if low is None else max(settings.threshold, low)
-        if depths[-1] <= settings.depth_for(low):
+        if depths[-1] <= last:
             break
-        depths.append(settings.depth_for(low))
+        low = part.agg(F.min("low")).first()[0]
+        step = last if low is None else settings.depth_for(max(settings.threshold, low))
+        depths.append(step if step < depths[-1] else last)
     found = parts[0]
     for part in parts[1:]:
         found = found.union(part)

@@ -85,3 +85,23 @@ def test_components_of_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(30)] + [(50, 40), (7, 7)], "a int, b int")
     found = {r.node: r.root for r in components(edges).collect()}
     assert found == {**{i: 0 for i in range(1, 31)}, 50: 40}
+
+
+def apart(settings):
+    """Two texts above the threshold that share no path of full length."""
+    flips, factors = near_join.permutations(settings)
+    for k in range(1000):
+        base = [f"a{k}w{i}" for i in range(104)]
+        other = base[:30] + ["x"] + base[31:70] + ["y"] + base[71:]
+        both = [near_join.signature(shingles(" ".join(x)), flips, factors) for x in (base, other)]
+        same = (both[0] == both[1]).reshape(settings.trees, settings.depth)
+        if not same.all(1).any():
+            return " ".join(base), " ".join(other)
+
+
+def test_pairs_at_the_threshold_among_closer_ones(spark):
+    """Other rows do not decide how short the prefixes get."""
+    close = " ".join(f"c{i}" for i in range(300))
+    rows = [(0, close), (1, close + " end"), *enumerate(apart(near_join.Settings()), 2)]
+    found = near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert keyed(tuple(r) for r in found.collect()) == keyed(brute(rows))
