@@ -1,12 +1,15 @@
 """License scans: TF-IDF cosine of passages to templates, then inheritance down the directories.
 
 A passage is a line that holds one of the anchor words. Its vector has a place for every term;
-the document frequencies are those among all passages. A file whose passages make up most of its
-text is a license file and speaks for its directory. Files without a license of their own take
+the document frequencies are those among all passages. Paragraphs, wrapped lines, sentences and
+runs of words around an anchor are compared with notices and usual headers in the same way, whole
+texts with full license texts by the runs of words they share, and SPDX tags are read. A file whose
+passages or license text make up most of its text is a license file and speaks for its directory. Files without a license of their own take
 that of the nearest directory above them. All of it is joins and aggregates.
 """
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,17 +35,55 @@ TEMPLATES = (
     ("CC0-1.0", "Dedicated to the public domain under the CC0 1.0 license"),
 )
 
+#: Paragraphs that usual headers consist of.
+HEADERS = (
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file'
+                   " except in compliance with the License. You may obtain a copy of the License at"
+                   " http://www.apache.org/licenses/LICENSE-2.0"),
+    *((f"{short}-{v}.0", f"This program is free software: you can redistribute it and/or modify it under the terms of"
+                         f" the GNU {name} as published by the Free Software Foundation, either version {v} of the"
+                         " License, or (at your option) any later version.")
+      for short, name, v in (("GPL", "General Public License", 2), ("GPL", "General Public License", 3),
+                             ("LGPL", "Lesser General Public License", 3), ("AGPL", "Affero General Public License", 3))),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU"
+                 " Lesser General Public License as published by the Free Software Foundation; either version 2.1 of"
+                 " the License, or (at your option) any later version."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the"
+                " MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("MIT", "Licensed under the MIT License. See LICENSE in the project root for license information."),
+    ("CC0-1.0", "To the extent possible under law, the author has dedicated all copyright and related rights to this"
+                " work to the public domain worldwide under the CC0 1.0 Universal license."),
+)
+
+
+def full_texts() -> list[tuple[str, str]]:
+    """Names and texts of whole licenses; the AGPL and two-clause BSD follow from their kin."""
+    texts = {p.stem: p.read_text() for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    affero = texts["GPL-3.0"].replace("GNU General Public", "GNU Affero General Public")
+    texts["AGPL-3.0"] = affero.replace("GNU GENERAL PUBLIC", "GNU AFFERO GENERAL PUBLIC")
+    clauses = texts["BSD-3-Clause"]
+    texts["BSD-2-Clause"] = clauses[: clauses.index("3. Neither")] + clauses[clauses.index("THIS SOFTWARE") :]
+    return sorted(texts.items())
+
 
 @dataclass(frozen=True)
 class Settings:
     """score: least cosine of a match. file_share: part of a text that passages of a license file
-    make up. anchors and terms are regular expressions."""
+    make up. anchors and terms are regular expressions. contained: part of a full license text
+    that a text holds, by runs of ``run`` terms. longest: characters of a block; sentences and
+    runs of words stand for longer ones."""
 
     templates: tuple[tuple[str, str], ...] = TEMPLATES
     score: float = 0.6
     file_share: float = 0.5
     anchors: str = "(?i)licen[sc]e|copyright|public domain|permission is hereby"
     terms: str = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+    headers: tuple[tuple[str, str], ...] = HEADERS
+    contained: float = 0.8
+    run: int = 5
+    longest: int = 2000
 
 
 def passages(text: Column, settings: Settings) -> Column:
@@ -58,14 +99,15 @@ def terms(text: Column, settings: Settings) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(settings.terms), F.lit(0))
 
 
-def scored(lines: DataFrame, settings: Settings) -> DataFrame:
+def scored(lines: DataFrame, settings: Settings, text: str = "line") -> DataFrame:
     """(line, license, score) of the best template of each line that reaches the least score.
 
-    lines is (line, n), n the number of passages that read so. The weight of a term is its count
+    lines is (line, n), n the number of passages that read so; another column may hold the text,
+    line then stands for it. The weight of a term is its count
     times 1 + ln((1 + passages) / (1 + passages with the term)). Ties go to the first name.
     """
     spark = lines.sparkSession
-    counted = lines.select("line", "n", F.explode(terms(F.col("line"), settings)).alias("term"))
+    counted = lines.select("line", "n", F.explode(terms(F.col(text), settings)).alias("term"))
     tf = counted.groupBy("line", "term").agg(F.count("*").alias("tf"), F.first("n").alias("n"))
     total = lines.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     idf = tf.groupBy("term").agg(
@@ -105,18 +147,143 @@ def scored(lines: DataFrame, settings: Settings) -> DataFrame:
     )
 
 
+#: Comment marks at the start of a line, and what a license tag says.
+MARKS = r"(?m)^[ \t]*(?:[/*#;%!<>|\"'-]+|(?:dnl|rem|REM)\b)?[ \t]*"
+TAG = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:\)?[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]+)*)"
+
+
+def once(value: Column, then) -> Column:
+    """then of a value that is worked out once, not anew for each element of an array."""
+    return F.element_at(F.transform(F.array(value), then), 1)
+
+
+def blocks(plain: Column, settings: Settings) -> Column:
+    """Parts of a text without comment marks that hold an anchor: paragraphs, two and three lines
+    on end, one and two sentences, and runs of words around the anchor."""
+
+    def joined(parts: Column, size: int) -> Column:
+        return once(
+            parts,
+            lambda all_: F.transform(all_, lambda x, i: F.array_join(F.slice(all_, i + 1, size), " ")),
+        )
+
+    near = r"(?:[^\s]+\s+){0,%d}[^\s]*(?:" + settings.anchors.removeprefix("(?i)") + r")[^\s]*(?:\s+[^\s]+){0,%d}"
+    lines, one = F.split(plain, r"\r?\n"), F.regexp_replace(plain, r"\s+", " ")
+    sentences = F.split(one, r"(?<=[.;!?:])\s+")
+    parts = F.concat(
+        F.split(plain, r"\r?\n[ \t\r]*\n"),
+        joined(lines, 2),
+        joined(lines, 3),
+        sentences,
+        joined(sentences, 2),
+        *(F.regexp_extract_all(one, F.lit("(?i)" + near % (n, n)), F.lit(0)) for n in (5, 15)),
+    )
+    good = F.filter(
+        parts,
+        lambda x: (F.length(x) <= settings.longest) & F.regexp_like(x, F.lit(settings.anchors)),
+    )
+    return F.array_distinct(F.transform(good, lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))))
+
+
+def term_runs(text: Column, settings: Settings) -> Column:
+    """Hashes of the distinct runs of terms."""
+    return once(
+        terms(text, settings),
+        lambda found: F.array_distinct(
+            F.transform(
+                F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(found) - settings.run + 1)),
+                lambda i: F.xxhash64(F.slice(found, i, settings.run)),
+            )
+        ),
+    )
+
+
+#: What is found in a file; min of best picks the surest kind, then score and name.
+EVIDENCE = ["path", "license", "score", "is_file", "kind"]
+
+
+def whole(plain: DataFrame, settings: Settings) -> DataFrame:
+    """Files (path, plain) that hold most of a full license text; score is the part they hold.
+
+    Of texts that share parts the one most alike by Dice's measure counts.
+    """
+    known = (
+        plain.sparkSession.createDataFrame(full_texts(), "license string, text string")
+        .select("license", term_runs(F.col("text"), settings).alias("runs"))
+        .select("license", F.size("runs").alias("size"), F.explode("runs").alias("run"))
+    )
+    own = plain.select(
+        "path",
+        F.xxhash64("plain").alias("fp"),
+        F.size(terms(F.col("plain"), settings)).alias("n"),
+        F.explode(term_runs(F.col("plain"), settings)).alias("run"),
+    )
+    best = Window.partitionBy("path", "fp").orderBy(F.desc("dice"), "license")
+    # A repeated row has each run once more, so runs are counted as distinct ones.
+    return (
+        own.join(F.broadcast(known), "run")
+        .groupBy("path", "fp", "license")
+        .agg(F.count_distinct("run").alias("common"), F.max("n").alias("n"), F.max("size").alias("size"))
+        .where(F.col("common") >= settings.contained * F.col("size"))
+        .withColumn("dice", 2 * F.col("common") / (F.col("n") + F.col("size")))
+        .withColumn("rank", F.row_number().over(best))
+        .where("rank = 1")
+        .withColumn("score", F.round(F.col("common") / F.col("size"), 6))
+        .withColumn("is_file", F.col("common") >= settings.file_share * F.col("n"))
+        .withColumn("kind", F.when(F.col("is_file"), 0).otherwise(2))
+        .select(EVIDENCE)
+    )
+
+
+def tagged(plain: DataFrame, settings: Settings) -> DataFrame:
+    """Files with a license tag; -only, -or-later and + are left out of its names."""
+    tag = F.regexp_extract("plain", TAG, 1)
+    named = F.regexp_replace(F.regexp_replace(tag, r"-only\b|-or-later\b|\+|[()]", ""), r"\s+", " ")
+    return plain.where(F.col("plain").contains("SPDX-License-Identifier:") & (tag != "")).select(
+        "path",
+        named.alias("license"),
+        F.lit(1.0).alias("score"),
+        (F.length(tag) + len("SPDX-License-Identifier: ") >= settings.file_share * F.length("plain")).alias("is_file"),
+        F.lit(1).alias("kind"),
+    )
+
+
+def noticed(plain: DataFrame, settings: Settings) -> DataFrame:
+    """Files with a block that is like a notice or a usual header."""
+    found = saved(
+        plain.select("path", F.length("plain").alias("size"), F.explode(blocks(F.col("plain"), settings)).alias("text"))
+        .withColumn("line", F.xxhash64("text"))
+    )
+    # Blocks are long and have many terms, so their hashes go through the joins.
+    lines = found.groupBy("line").agg(F.count("*").alias("n"), F.first("text").alias("text"))
+    more = replace(settings, templates=(*settings.templates, *settings.headers))
+    return (
+        found.select("path", "size", F.length("text").alias("chars"), "line")
+        .join(scored(saved(lines), more, "text"), "line")
+        .withColumn("is_file", F.col("chars") >= settings.file_share * F.col("size"))
+        .withColumn("kind", F.lit(3))
+        .select(EVIDENCE)
+    )
+
+
 def parent(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
+def best_of(*columns: str) -> Column:
+    """The best score, then the first name, after the given columns."""
+    return F.min(F.struct(*columns, (-F.col("score")).alias("minus"), "license")).alias("best")
+
+
 def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The columns of files (path, text) without text, and license, how, score, license_dir.
 
     how is ``file`` or ``header`` for a license in the text, ``inherited`` for that of the license
-    files in the directory license_dir, and ``none``. Of several passages the best counts, of
-    several license files in a directory too; ties go to the first name. Files that share a path
-    are one file; a null path is in no directory, a null or empty text has no license. Columns
-    with the names of the results are replaced.
+    files in the directory license_dir, and ``none``. A text that mostly is a full license counts
+    before a tag, a tag before a full license in a longer text, that before passages; of several
+    passages the best counts, of several license files in a directory too; ties go to the first
+    name. Files that share a path are one file; a null path is in no directory, a null or empty
+    text has no license. Columns with the names of the results are replaced.
     """
     files = files.drop("license", "how", "score", "license_dir")
     found = saved(
@@ -125,36 +292,58 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
         .select("path", "size", F.explode("p").alias("line"))
     )
     lines = found.groupBy("line").agg(F.count("*").alias("n"))
-    matched = found.join(scored(saved(lines), settings), "line")
-    # max of a struct picks the best score, then the first name by its place in order
-    names = sorted({name for name, _ in settings.templates})
-    order = F.array_position(F.lit(names), F.col("license"))
+    matched = (
+        found.join(scored(saved(lines), settings), "line")
+        .groupBy("path")
+        .agg(best_of(), F.sum(F.length("line")).alias("covered"), F.max("size").alias("size"))
+        .select(
+            "path",
+            "best.license",
+            (-F.col("best.minus")).alias("score"),
+            (F.col("covered") >= settings.file_share * F.col("size")).alias("is_file"),
+            F.lit(3).alias("kind"),
+        )
+    )
+    plain = saved(
+        files.where(F.regexp_like("text", F.lit(settings.anchors))).select(
+            "path", F.trim(F.regexp_replace("text", MARKS, "")).alias("plain")
+        )
+    )
+    # A block adds nothing where a line says the same.
+    said = matched.select(F.col("path").alias("at"), F.col("license").alias("name"))
+    new = noticed(plain, settings).join(
+        said, F.col("path").eqNullSafe(F.col("at")) & (F.col("license") == F.col("name")), "left_anti"
+    )
+    evidence = matched.withColumn("later", F.lit(0)).union(
+        whole(plain, settings)
+        .union(tagged(plain, settings))
+        .union(new)
+        .withColumn("later", F.lit(1))
+    )
     own = saved(
-        matched.groupBy("path")
+        evidence.groupBy("path")
         .agg(
-            F.max(F.struct("score", (-order).alias("place"))).alias("best"),
-            F.sum(F.length("line")).alias("covered"),
-            F.max("size").alias("size"),
+            F.min(
+                F.struct(
+                    "kind", (-F.col("score")).alias("minus"), "later", "license", (~F.col("is_file")).alias("part")
+                )
+            ).alias("best")
         )
         .select(
             "path",
-            F.element_at(F.lit(names), (-F.col("best.place")).cast("int")).alias("license"),
-            F.col("best.score").alias("score"),
-            (F.col("covered") >= settings.file_share * F.col("size")).alias("is_file"),
+            "best.license",
+            (-F.col("best.minus")).alias("score"),
+            (~F.col("best.part")).alias("is_file"),
         )
     )
     speaking = (
         own.where("is_file and path is not null")
         .groupBy(parent(F.col("path")).alias("license_dir"))
-        .agg(
-            F.max(
-                F.struct("score", (-F.array_position(F.lit(names), F.col("license"))).alias("place"))
-            ).alias("best")
-        )
+        .agg(best_of())
         .select(
             "license_dir",
-            F.element_at(F.lit(names), (-F.col("best.place")).cast("int")).alias("dir_license"),
-            F.col("best.score").alias("dir_score"),
+            F.col("best.license").alias("dir_license"),
+            (-F.col("best.minus")).alias("dir_score"),
         )
     )
     steps = F.split("dir", "/")

@@ -99,3 +99,30 @@ def test_columns_that_share_names_with_inner_ones(spark):
     plain = sorted(map(str, licenses.licensed(files).collect()))
     assert sorted(map(str, found.drop(*names).collect())) == plain
     assert all(r.path is None or r[n] == n + r.path for r in found.collect() for n in names)
+
+
+GPL2 = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version {} of the License, or
+# (at your option) any later version.
+"""
+
+
+def test_license_files_headers_and_tags(spark):
+    texts, code = dict(licenses.full_texts()), "x = compute(y, z)  # and so on\n" * 60
+    prose = "the river by the house is old and the cloud above it was grey that day " * 40
+    rows = [(f"{n}/LICENSE", f"Copyright (c) 2020 Some One\n\n{text}", n, "file") for n, text in texts.items()]
+    rows += [(f"{n}/src/x.py", "no notice", n, "inherited") for n in texts]
+    rows += [
+        ("h/mit.py", "".join(f"// {x}\n" for x in texts["MIT"].split("\n")) + code, "MIT", "header"),
+        ("h/gpl2.py", GPL2.format(2) + code, "GPL-2.0", "header"),
+        ("h/gpl3.py", GPL2.format(3) + "\n" + code, "GPL-3.0", "header"),
+        ("h/two.py", "# This work is licensed under the GNU General\n# Public License, version 2.\n" + code, "GPL-2.0", "header"),
+        ("h/tag.c", "/* SPDX-License-Identifier: GPL-2.0-or-later */\n" + code, "GPL-2.0", "header"),
+        ("h/both.rs", "// SPDX-License-Identifier: MIT OR Apache-2.0\n" + code, "MIT OR Apache-2.0", "header"),
+        ("h/long.md", f"{prose.strip()}. {APACHE} {prose}", "Apache-2.0", "header"),
+        ("h/plain.md", f"{prose}, a license for it, {prose}", None, "none"),
+    ]
+    files = spark.createDataFrame([r[:2] for r in rows], "path string, text string").repartition(3)
+    found = {r.path: (r.license, r.how) for r in licenses.licensed(files).collect()}
+    assert found == {r[0]: r[2:] for r in rows}
