@@ -68,8 +68,14 @@ def print_of(found: np.ndarray) -> bytes:
     return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
 
+def written() -> Column:
+    """Hash of a text as it is; the copies of a class may be written differently."""
+    return F.unhex(F.md5("text")).alias("written")
+
+
 def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
-    """doc_id, fingerprint of the shingles and signature; both null for a text without words."""
+    """doc_id, fingerprint of the shingles, signature and hash of the text; fingerprint and signature
+    are null for a text without words."""
 
     def run(batches):
         flips, factors = permutations(settings)
@@ -80,13 +86,18 @@ def signatures(docs: DataFrame, settings: Settings) -> DataFrame:
                 prints.append(print_of(found) if len(found) else None)
                 labels.append(signature(found, flips, factors).tobytes() if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(prints, pa.binary()), pa.array(labels, pa.binary())],
-                ["doc_id", "fp", "sig"],
+                [
+                    batch.column(0),
+                    pa.array(prints, pa.binary()),
+                    pa.array(labels, pa.binary()),
+                    batch.column(2),
+                ],
+                ["doc_id", "fp", "sig", "written"],
             )
 
-    rows = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text", written())
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sig binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, fp binary, sig binary, written binary")
 
 
 def cells(classes: DataFrame, depth: int, settings: Settings) -> DataFrame:
@@ -130,7 +141,7 @@ def blocks(classes: DataFrame, depth: int, settings: Settings) -> DataFrame:
             "fp",
         )
     )
-    return placed.join(classes.select("fp", "first_id", "copies", "sig"), "fp")
+    return placed.join(classes.select("fp", "written", "copies", "sig"), "fp")
 
 
 def dealt(rows: DataFrame) -> DataFrame:
@@ -186,15 +197,14 @@ def candidates(classes: DataFrame, depths: list[int], settings: Settings) -> Dat
                     low[start:end] = np.where(close, np.floor(estimate / STRATA) * STRATA, 1).min(0)
             at = np.flatnonzero(keep)
             if len(at):
-                out = table.select([*GROUP, "side", "fp", "first_id", "copies"]).take(at)
+                out = table.select([*GROUP, "side", "fp", "written", "copies"]).take(at)
                 out = out.append_column("low", pa.array(low[at]))
                 yield from out.combine_chunks().to_batches()
 
     rows = blocks(classes, depths[-1], settings)
-    kind = rows.schema["first_id"].dataType.simpleString()
     return dealt(rows).mapInArrow(
         run,
-        f"tree byte, cell long, i int, j int, side byte, fp binary, first_id {kind}, copies long,"
+        "tree byte, cell long, i int, j int, side byte, fp binary, written binary, copies long,"
         " low double",
     )
 
@@ -267,12 +277,14 @@ def verified(
                     ["fp", "links", "root"],
                 )
 
-    texts = docs.select(F.col("doc_id").alias("first_id"), "text")
-    same = F.col("f.first_id").eqNullSafe(F.col("t.first_id"))
-    rows = (
-        found.alias("f")
-        .join(texts.alias("t"), same)
-        .select("f.depth", *(f"f.{c}" for c in GROUP), "f.side", "f.fp", "f.copies", "t.text")
+    # One text a class, however often it is stored.
+    texts = (
+        docs.select(written(), "text")
+        .join(found.select("written").distinct(), "written", "left_semi")
+        .dropDuplicates(["written"])
+    )
+    rows = found.join(texts, "written").select(
+        "depth", *GROUP, "side", "fp", "copies", "text"
     )
     return (
         rows.repartition("depth", *GROUP)
@@ -316,6 +328,7 @@ def near_join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
             F.min("doc_id").alias("first_id"),
             F.count("*").alias("copies"),
             F.first("sig").alias("sig"),
+            F.first("written").alias("written"),
         )
     )
     depths, parts, last = [settings.depth], [], settings.depth_for(settings.threshold)
@@ -333,7 +346,7 @@ def near_join(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     links = saved(verified(found, docs, depths, settings))
     joined = components(links.select(F.col("fp").alias("a"), F.col("root").alias("b")))
     summed = links.groupBy("fp").agg(F.sum("links").alias("links"))
-    return classed(rows.drop("sig"), classes.drop("sig"), joined, summed)
+    return classed(rows.drop("sig", "written"), classes.drop("sig", "written"), joined, summed)
 
 
 def classed(rows: DataFrame, classes: DataFrame, joined: DataFrame, links: DataFrame) -> DataFrame:

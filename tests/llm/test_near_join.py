@@ -105,3 +105,11 @@ def test_pairs_at_the_threshold_among_closer_ones(spark):
     rows = [(0, close), (1, close + " end"), *enumerate(apart(near_join.Settings()), 2)]
     found = near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string"))
     assert keyed(tuple(r) for r in found.collect()) == keyed(brute(rows))
+
+
+def test_repeated_rows_with_a_near_neighbour(spark):
+    words = [f"w{i}" for i in range(104)]
+    text, near = " ".join(words), " ".join([*words[:50], "x", *words[51:]])
+    rows = [(1, text)] * 7 + [(1, text.upper()), (2, near), (None, near), (None, near), (3, text)]
+    found = near_join.near_join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert keyed(tuple(r) for r in found.collect()) == keyed(brute(rows))
