@@ -232,3 +232,47 @@ select d.doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_a
   coalesce(n_hex, 0) as n_hex, sha256(coalesce(base, '')) as base_sha256, coalesce(spans, '') as spans
 from d left join told using (doc_id)
 """
+
+
+#: The table of the CRC-32 checksum, and the checksum of a text.
+CRC = """steps as (
+  select i::bigint as i, i::bigint as v, 0 as k from range(256) r(i)
+  union all
+  select i, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end, k + 1 from steps where k < 8
+), crc as (select list(v order by i) as t from steps where k = 8)"""
+
+
+def crc_sql(text: str) -> str:
+    return (
+        f"xor(list_reduce(list_transform(regexp_extract_all(hex(encode({text})), '..'), "
+        "lambda h: ('0x' || h)::bigint), "
+        "lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+    )
+
+
+def shards_sql(count: int, copies: int, digits: int) -> str:
+    """Rendezvous hashing with equal weights, so that the greatest hash wins."""
+
+    def bids(n: int) -> str:
+        return (
+            f"list_transform(range({n}), lambda s: {{'h': substring(md5(k || ':' || s), 1, 13), 's': -s}})"
+        )
+
+    return f"""
+with recursive {CRC}, docs as (
+  select doc_id, octet_length(encode(coalesce(text, ''))) + 1 as size,
+    {crc_sql("coalesce(text, '')")} as text_crc32, coalesce(cast(doc_id as varchar), 'null') as k
+  from documents, crc
+), copied as (
+  select *, (row_number() over (partition by doc_id, size, text_crc32) - 1) // {copies} as piece from docs
+), placed as (
+  select *, -list_max({bids(count)}).s as shard, -list_max({bids(count + 1)}).s as grown_shard,
+    substring(md5(k || '#' || size || ':' || text_crc32
+      || case when piece > 0 then '#' || piece else '' end), 1, {digits}) as bucket
+  from copied
+)
+select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number() over (
+    partition by shard order by bucket, doc_id nulls first, size, text_crc32, piece) - 1 as slot,
+  grown_shard::int as grown_shard
+from placed
+"""

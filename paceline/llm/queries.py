@@ -17,6 +17,7 @@ from paceline.llm import (
     near_join,
     repeats,
     secrets,
+    sharding,
 )
 from paceline.session import prepare
 
@@ -81,6 +82,10 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop("spans")
 
 
+def document_shards(spark: SparkSession, folder: str) -> DataFrame:
+    return sharding.document_shards(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": language_id,
     "op2_near_join": similar_documents,
@@ -92,6 +97,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_rates": mixing_rates,
     "op9_main_text": page_text,
     "op10_decontaminate": benchmark_hits,
+    "op13_shards": document_shards,
 }
 
 SQL: dict[str, str] = {
@@ -105,4 +111,5 @@ SQL: dict[str, str] = {
         licenses.TEMPLATES, licenses.Settings().anchors, licenses.Settings().terms
     ),
     "op10_decontaminate": counterparts.BENCHMARK,
+    "op13_shards": counterparts.shards_sql(16, sharding.Slots().copies, sharding.Slots().digits),
 }
