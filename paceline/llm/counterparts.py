@@ -276,3 +276,87 @@ select doc_id, size, text_crc32, 'key' as law, shard::int as shard, row_number()
   grown_shard::int as grown_shard
 from placed
 """
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def _step(p: str, cost: str, letter: str, line: str = "''") -> str:
+    return f"{{'c': {p}.c + {cost}, 'a': {p}.a || '{letter}', 't': {p}.t || {line}}}"
+
+
+def _inserted(p: str, role: str) -> str:
+    return _step(p, "3", "I", f"chr(10) || '{role}:'")
+
+
+#: After each turn the cheapest edits for each state (0: nothing yet, 1: after system, 2: after user, 3: after
+#: assistant), as cost, audit and text; ties go to the least audit.
+REPAIR = f"""
+with recursive {CRC}, raw as (
+  select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+    {crc_sql("coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ')")} % 20 as f
+  from conversations, crc
+), damaged as (
+  select conv_id, turn, case when f = 4 then 'user' else role end as role,
+    case when f = 1 then '' when f = 2 then translate(text, '.!?', '') else text end as text, c
+  from raw, unnest(range(case when f = 3 then 2 else 1 end)) as t(c) where f <> 0
+), placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, role, sha256(text), c) as i,
+    row_number() over (partition by conv_id, role, text order by turn nulls first, c) as seen,
+    rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as body, left(role, 1) as initial
+  from damaged
+), told as (
+  select *, case when body = '' then 'blank' when seen > 1 then 'duplicate'
+      when right(body, 1) not in ('.', '!', '?') then 'truncated' else '' end as fault,
+    i > 1 and lag(initial, 1) over (partition by conv_id order by i) || initial not in ('su', 'ua', 'au') as bad
+  from placed
+), turns as (
+  select conv_id, i, role, text, initial, fault in ('blank', 'duplicate') as gone,
+    case when fault = 'truncated' then 3 else 0 end as m from told
+), walk as (
+  select conv_id, 0::bigint as i, {{'c': 0::bigint, 'a': '', 't': ''}} as p0,
+    {{'c': 1000000000::bigint, 'a': '', 't': ''}} as p1, {{'c': 1000000000::bigint, 'a': '', 't': ''}} as p2,
+    {{'c': 1000000000::bigint, 'a': '', 't': ''}} as p3
+  from (select distinct conv_id from turns)
+  union all
+  select conv_id, i, {_step("p0", "4", "D")}, case
+      when gone or initial <> 's' then {_step("p1", "4", "D")}
+      else {_least(_step("p1", "4", "D"), _step("p0", "m", "K", "chr(10) || role || ':' || text"))} end,
+    case when gone then {_step("q2", "4", "D")} else {_least(
+        _step("q2", "4", "D"),
+        *(_step(p, "3 + m", "R", "chr(10) || 'user:' || text") for p in ("p0", "p1", "q3")),
+        *(f"case when initial = 'u' then {_step(p, 'm', 'K', 'chr(10) || role || chr(58) || text')} "
+          f"else {_step('q2', '4', 'D')} end" for p in ("p0", "p1", "q3")),
+    )} end,
+    case when gone then {_step("q3", "4", "D")} else {_least(
+        _step("q3", "4", "D"),
+        _step("q2", "3 + m", "R", "chr(10) || 'assistant:' || text"),
+        f"case when initial = 'a' then {_step('q2', 'm', 'K', 'chr(10) || role || chr(58) || text')} "
+        f"else {_step('q3', '4', 'D')} end",
+    )} end
+  from (
+    select *, {_least("p3", _inserted("q2", "assistant"))} as q3 from (
+      select w.conv_id, t.i, role, text, initial, gone, m, p0, p1, p3,
+        {_least("p2", *(_inserted(p, "user") for p in ("p0", "p1", "p3")))} as q2
+      from walk w join turns t on t.conv_id is not distinct from w.conv_id and t.i = w.i + 1
+    )
+  )
+), ends as (
+  select conv_id, {_least("p0", "p3", _inserted("q2", "assistant"))} as best from (
+    select *, {_least("p2", *(_inserted(p, "user") for p in ("p0", "p1", "p3")))} as q2
+    from walk w where i = (select max(i) from turns t where t.conv_id is not distinct from w.conv_id)
+  )
+), counted as (
+  select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+    count(*) filter (fault = 'blank') as blank, count(*) filter (fault = 'duplicate') as duplicate,
+    count(*) filter (fault = 'truncated') as truncated, count(*) filter (bad) as illegal
+  from told group by conv_id
+)
+select o.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate,
+  coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(best.c, 0) as cost,
+  coalesce(best.a, '') as audit, sha256(coalesce(substring(best.t, 2), '')) as repaired_sha256
+from (select distinct conv_id from conversations) o
+  left join counted c on c.conv_id is not distinct from o.conv_id
+  left join ends e on e.conv_id is not distinct from o.conv_id
+"""

@@ -15,6 +15,7 @@ from paceline.llm import (
     main_text,
     mixing,
     near_join,
+    repair,
     repeats,
     secrets,
     sharding,
@@ -82,6 +83,10 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop("spans")
 
 
+def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.repairs(repair.damaged(table(spark, folder, "conversations")))
+
+
 def document_shards(spark: SparkSession, folder: str) -> DataFrame:
     return sharding.document_shards(table(spark, folder, "documents"))
 
@@ -97,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_rates": mixing_rates,
     "op9_main_text": page_text,
     "op10_decontaminate": benchmark_hits,
+    "op12_conversation_repair": repaired_conversations,
     "op13_shards": document_shards,
 }
 
@@ -111,5 +117,6 @@ SQL: dict[str, str] = {
         licenses.TEMPLATES, licenses.Settings().anchors, licenses.Settings().terms
     ),
     "op10_decontaminate": counterparts.BENCHMARK,
+    "op12_conversation_repair": counterparts.REPAIR,
     "op13_shards": counterparts.shards_sql(16, sharding.Slots().copies, sharding.Slots().digits),
 }
