@@ -360,3 +360,26 @@ from (select distinct conv_id from conversations) o
   left join counted c on c.conv_id is not distinct from o.conv_id
   left join ends e on e.conv_id is not distinct from o.conv_id
 """
+
+NEGATIVES = """
+with v as (
+  select distinct vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+    list_transform(embedding, lambda x: floor(256 * x::double)) as vector
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(
+    embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0
+), pairs as (
+  select a.vec_id as anchor_id, b.vec_id, a.label = b.label as same,
+    list_inner_product(a.vector, b.vector)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id and len(a.vector) = len(b.vector) where a.vec_id % 100 = 0
+), positives as (
+  select anchor_id, vec_id as positive_id, score as positive_score from pairs where same
+  qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+)
+select p.anchor_id, positive_id,
+  row_number() over (partition by p.anchor_id, positive_id order by n.score desc, n.vec_id)::int as rank,
+  n.vec_id as negative_id, positive_score, n.score as negative_score
+from positives p join pairs n on n.anchor_id = p.anchor_id and not n.same
+  and 80 * positive_score <= 100 * n.score and 100 * n.score <= 100 * positive_score
+qualify rank <= 5
+"""

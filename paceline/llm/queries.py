@@ -15,6 +15,7 @@ from paceline.llm import (
     main_text,
     mixing,
     near_join,
+    negatives,
     repair,
     repeats,
     secrets,
@@ -83,6 +84,19 @@ def benchmark_hits(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contamination(docs, items).drop("spans")
 
 
+def mined_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    """Every seventh label is moved on by one, components are whole 256ths."""
+    moved = F.when(
+        F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10
+    ).otherwise(F.col("label"))
+    items = (
+        table(spark, folder, "embeddings")
+        .where(negatives.usable(F.col("embedding")))
+        .select("vec_id", moved.alias("label"), negatives.whole_numbers(F.col("embedding")).alias("vector"))
+    )
+    return negatives.hard_negatives(items, items.where("vec_id % 100 = 0"))
+
+
 def repaired_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return repair.repairs(repair.damaged(table(spark, folder, "conversations")))
 
@@ -102,6 +116,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing_rates": mixing_rates,
     "op9_main_text": page_text,
     "op10_decontaminate": benchmark_hits,
+    "op11_hard_negatives": mined_negatives,
     "op12_conversation_repair": repaired_conversations,
     "op13_shards": document_shards,
 }
@@ -117,6 +132,7 @@ SQL: dict[str, str] = {
         licenses.TEMPLATES, licenses.Settings().anchors, licenses.Settings().terms
     ),
     "op10_decontaminate": counterparts.BENCHMARK,
+    "op11_hard_negatives": counterparts.NEGATIVES,
     "op12_conversation_repair": counterparts.REPAIR,
     "op13_shards": counterparts.shards_sql(16, sharding.Slots().copies, sharding.Slots().digits),
 }
