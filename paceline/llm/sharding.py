@@ -156,7 +156,7 @@ def document_shards(docs: DataFrame, count: int = 16) -> DataFrame:
     sized = docs.select(
         "doc_id",
         (F.octet_length(text) + 1).cast("long").alias("size"),
-        F.crc32(F.encode(text, "UTF-8")).alias("text_crc32"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
     )
     spread = F.concat_ws(":", F.col("size").cast("string"), F.col("text_crc32").cast("string"))
     out = sharded(sized, ["doc_id"], equal_shards(count), equal_shards(count + 1), spread)
