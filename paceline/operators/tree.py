@@ -3,27 +3,29 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.session import rounds
 
-def nesting_depth(json_text: Column) -> Column:
-    """How deep the braces of a JSON text nest; braces inside strings do not count."""
-    bare = F.regexp_replace(json_text, r'"(\\.|[^"\\])*"', "")
-    braces = F.split(F.regexp_replace(bare, r"[^{}]", ""), "")
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("top"))
 
-    def step(acc: Column, brace: Column) -> Column:
-        now = acc["now"] + F.when(brace == "{", 1).when(brace == "}", -1).otherwise(0)
-        return F.struct(now.alias("now"), F.greatest(acc["top"], now).alias("top"))
+#: Levels that are opened before and after the first look at what is still closed.
+FIRST, MORE = 6, 64
 
-    return F.aggregate(braces, start, step, lambda acc: acc["top"])
+
+def is_object(node: Column) -> Column:
+    """Whether a variant is an object; looks no deeper. Null if the variant is."""
+    return F.when(
+        node.isNotNull(), F.try_variant_get(node, F.lit("$"), "struct<>").isNotNull()
+    )
 
 
 def reject_reason(json_text: Column) -> Column:
-    """Why a text cannot be flattened, null if it can. Every parser reads objects only."""
+    """Why a text cannot be flattened, null if it can. Every parser reads objects only.
+
+    The JSON reader takes up to 1000 levels; a text that nests deeper is malformed.
+    """
     node = F.try_parse_json(json_text)
-    kind = F.schema_of_variant(node)
     return (
         F.when(json_text.isNull(), "missing")
-        .when(kind.startswith("OBJECT<"), F.lit(None))
+        .when(is_object(node), F.lit(None))
         .when(node.isNotNull() | ~json_text.rlike(r"^\s*\{"), "no object")
         .when(F.json_object_keys(json_text).isNotNull(), "duplicate key")
         .otherwise("malformed")
@@ -47,22 +49,36 @@ def flatten_tree(
     """JSON objects → (keys, path, name, value), one row per leaf.
 
     The path stays an array because names may contain dots. A JSON null stays null. With
-    ``empty_groups`` an object without members gives a row with a null name. One chain of
-    generators opens all levels in one pass over the rows; how many there are is measured
-    first, unless the caller knows and says so by ``depth``. What lies below a ``depth`` that
-    is too small comes as the text of its object. Texts that are no objects give no rows:
+    ``empty_groups`` an object without members gives a row with a null name. A bounded number of
+    levels is opened at a time; what still holds objects after them is written and goes on from
+    there, so no plan grows with the depth of a tree, and usual trees are opened in one pass. With
+    ``depth``, as streams need it, that many levels are opened and nothing is written; what lies
+    below them comes as the text of its object. Texts that are no objects give no rows:
     :func:`split_trees` tells them apart.
     """
-    levels = depth
-    if levels is None:
-        deepest = rows.agg(F.max(nesting_depth(F.col(json_text)))).first()[0]
-        levels = max(deepest or 0, 1)
-    spark = rows.sparkSession
-    level = rows.filter(F.col(json_text).rlike(r"^\s*\{")).select(
-        *keys,
-        F.array().cast("array<string>").alias("_path"),
-        F.try_parse_json(json_text).alias("_node"),
+    names = ["path", "name", "value", "_open"]
+    start = rows.filter(F.col(json_text).rlike(r"^\s*\{")).select(
+        *keys, F.array().cast("array<string>").alias("path"), F.try_parse_json(json_text).alias("_open")
+    )
+    if depth is not None:
+        return _opened(start, keys, depth, empty_groups, last=True).select(*keys, *names[:3])
+    found = rounds(
+        _opened(start, keys, FIRST, empty_groups).select(*keys, *names),
+        lambda closed: _opened(closed, keys, MORE, empty_groups).select(*keys, *names),
+        F.col("_open").isNotNull(),
     )
+    return found.drop("_open")
+
+
+def _opened(
+    level: DataFrame, keys: list[str], levels: int, empty_groups: bool, *, last: bool = False
+) -> DataFrame:
+    """(keys, path, name, value, _open): rows of (keys, path, _open) after so many levels.
+
+    An object that is still closed keeps its whole path and has no name; the last levels give its text.
+    """
+    spark = level.sparkSession
+    level = level.select(*keys, F.col("path").alias("_path"), F.col("_open").alias("_node"))
     for _ in range(levels):
         # The outer form hands a leaf on unchanged, with a null key. Members of a list
         # have a position but no key; the list as a whole is a leaf.
@@ -76,16 +92,21 @@ def flatten_tree(
             .alias("_path"),
             F.when(has_child, F.col("value")).otherwise(F.col("_node")).alias("_node"),
         )
-    is_empty = F.coalesce(F.schema_of_variant("_node") == "OBJECT<>", F.lit(False))
+    node = F.col("_node")
+    members = F.try_variant_get(node, F.lit("$"), "map<string,variant>")
+    is_empty = is_object(node) & (F.size(members) == 0)
+    closed = F.lit(False) if last else is_object(node) & ~is_empty
+    group, text = is_empty | closed, node.cast("string")
     level = level.filter(F.col("_node").isNotNull())
     if not empty_groups:
         level = level.filter(~is_empty)
     inner = F.slice("_path", F.lit(1), F.greatest(F.size("_path") - 1, F.lit(0)))
     return level.select(
         *keys,
-        F.when(is_empty, F.col("_path")).otherwise(inner).alias("path"),
-        F.when(~is_empty, F.try_element_at("_path", F.lit(-1))).alias("name"),
-        F.when(~is_empty, F.col("_node").cast("string")).alias("value"),
+        F.when(group, F.col("_path")).otherwise(inner).alias("path"),
+        F.when(~group, F.try_element_at("_path", F.lit(-1))).alias("name"),
+        F.when(~group, text).alias("value"),
+        F.when(closed, F.col("_node")).alias("_open"),
     )
 
 

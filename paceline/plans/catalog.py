@@ -545,7 +545,7 @@ def metric_tree_round_trip(spark, folder):
 
 @query
 def metric_flatten_deep(spark, folder):
-    """Trees of one to thirteen levels in one table."""
+    """Trees of one to 901 levels, very long values and texts without an end in one table."""
     rows = views.deep_trees(events(spark, folder))
     leaves = flatten_tree(rows, "tree", ["event_id"])
     return leaves.withColumn("path", F.array_join("path", "/"))

@@ -668,13 +668,18 @@ SQL: dict[str, str] = {
         FROM envtree WHERE event_id % 11 <> 0 AND event_id % 13 <> 0""",
     "metric_tree_round_trip": f"WITH {ENVELOPES} SELECT event_id, tree FROM envtree",
     "metric_flatten_deep": """
-        SELECT event_id, rtrim(repeat('g/', event_id % 13), '/') AS path,
-               'v' AS name, event_type AS value FROM events""",
+        SELECT event_id,
+               rtrim(repeat('g/', CASE WHEN event_id % 500 = 7 THEN 900 ELSE event_id % 13 END), '/') AS path,
+               'v' AS name,
+               CASE WHEN event_id % 500 = 8 THEN repeat('{', 20000) ELSE event_type END AS value
+        FROM events WHERE event_id % 500 <> 9""",
     "metric_flatten_rejects": """
-        SELECT event_id, CASE WHEN event_id % 10 IN (1, 2, 3, 4, 5) THEN NULL ELSE 'v' END AS name,
-               CASE WHEN event_id % 10 IN (1, 2, 3, 4, 5) THEN NULL ELSE event_type END AS value,
-               CASE event_id % 10 WHEN 1 THEN 'no object' WHEN 2 THEN 'no object'
-                    WHEN 3 THEN 'malformed' WHEN 4 THEN 'duplicate key' WHEN 5 THEN 'missing' END
+        SELECT event_id,
+               CASE WHEN event_id % 10 IN (1, 2, 3, 4, 5) OR event_id % 500 = 9 THEN NULL ELSE 'v' END AS name,
+               CASE WHEN event_id % 10 IN (1, 2, 3, 4, 5) OR event_id % 500 = 9 THEN NULL
+                    ELSE event_type END AS value,
+               CASE WHEN event_id % 500 = 9 THEN 'malformed' ELSE CASE event_id % 10 WHEN 1 THEN 'no object' WHEN 2 THEN 'no object'
+                    WHEN 3 THEN 'malformed' WHEN 4 THEN 'duplicate key' WHEN 5 THEN 'missing' END END
                  AS reason
         FROM events""",
     "metric_clashes": """

@@ -247,19 +247,27 @@ def tree_json() -> Column:
 
 
 def deep_trees(rows: DataFrame) -> DataFrame:
-    """Every event as a chain of groups, as deep as its number says, with a metric at its end."""
-    n = (F.col("event_id") % 13).cast("int")
-    metric = F.concat(F.lit('{"v":"'), F.col("event_type"), F.lit('"}'))
+    """Every event as a chain of groups, as deep as its number says, with a metric at its end.
+
+    A few have 900 groups, a value of 20 000 characters, or 10 000 open braces and no end.
+    """
+    odd = F.col("event_id") % 500
+    n = F.when(odd == 7, 900).otherwise((F.col("event_id") % 13).cast("int"))
+    value = F.when(odd == 8, F.repeat(F.lit("{"), F.lit(20_000))).otherwise(F.col("event_type"))
+    metric = F.concat(F.lit('{"v":"'), value, F.lit('"}'))
     tree = F.concat(F.repeat(F.lit('{"g":'), n), metric, F.repeat(F.lit("}"), n))
-    return rows.select("event_id", tree.alias("tree"))
+    endless = F.repeat(F.lit("{"), F.lit(10_000))
+    return rows.select("event_id", F.when(odd == 9, endless).otherwise(tree).alias("tree"))
 
 
 def broken_trees(rows: DataFrame) -> DataFrame:
-    """Every event as a small tree; some are lists, cut short, name a key twice or are missing."""
+    """Every event as a small tree; some are lists, cut short, name a key twice or are missing,
+    and a few are nothing but 10 000 open braces."""
     whole = F.concat(F.lit('{"a":{"v":"'), F.col("event_type"), F.lit('"}}'))
     n = F.col("event_id") % 10
     tree = (
-        F.when(n == 1, F.lit("[1]"))
+        F.when(F.col("event_id") % 500 == 9, F.repeat(F.lit("{"), F.lit(10_000)))
+        .when(n == 1, F.lit("[1]"))
         .when(n == 2, F.expr("substring(event_type, 1, 4)"))
         .when(n == 3, F.substring(whole, 1, 6))
         .when(n == 4, F.lit('{"a":"1","a":"2"}'))

@@ -2,12 +2,12 @@
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 _place: ContextVar[tuple[str, Iterator[int]] | None] = ContextVar("place", default=None)
 
@@ -46,12 +46,34 @@ def saved(rows: DataFrame) -> DataFrame:
     checkpoint, the planner knows the true size of what it reads, so it broadcasts the
     table only when it is small.
     """
-    place = _place.get()
-    path = f"{place[0]}/{next(place[1])}" if place else f"{run_dir(rows.sparkSession)}/rows"
+    path = _new_path(rows.sparkSession)
     rows.write.mode("overwrite").parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def _new_path(spark: SparkSession) -> str:
+    place = _place.get()
+    return f"{place[0]}/{next(place[1])}" if place else f"{run_dir(spark)}/rows"
+
+
+def rounds(
+    rows: DataFrame, advance: Callable[[DataFrame], DataFrame], unfinished: Column
+) -> DataFrame:
+    """Rows in which ``unfinished`` does not hold, after the others went through ``advance`` until none is left.
+
+    Each round is written below one path and starts from what the one before wrote, so its plan
+    is that of a single step; the result is one scan of all rounds.
+    """
+    spark, schema, folder, paths = rows.sparkSession, rows.schema, _new_path(rows.sparkSession), []
+    while True:
+        paths.append(f"{folder}/{len(paths)}")
+        rows.write.mode("overwrite").parquet(paths[-1])
+        rest = spark.read.schema(schema).parquet(paths[-1]).where(unfinished)
+        if rest.isEmpty():
+            return spark.read.schema(schema).parquet(*paths).where(~unfinished)
+        rows = advance(rest)
+
+
 @contextmanager
 def saving_to(folder: str) -> Iterator[None]:
     """Let :func:`saved` write below this folder, over what an earlier run left there."""

@@ -214,6 +214,28 @@ def test_deep_trees_and_rejects(spark):
     assert len(shallow.path) == 1 and json.loads(shallow.value) == deep["g24"]["g23"]
 
 
+def test_texts_that_a_recursion_would_not_survive(spark):
+    """Long strings, deep trees and endless braces in one table; the plan stays as it is for flat ones."""
+    chain = '{"g":' * 990 + '{"v":"end"}' + "}" * 990
+    texts = [
+        json.dumps({"a": "x" * 1_000_000}), json.dumps({"a": '\\"{' * 300_000}), chain, "{" * 10_000,
+        '{"g":' * 1200 + "1" + "}" * 1200, json.dumps({f"k{i}": {"v": i} for i in range(20_000)}),
+    ]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    good, bad = split_trees(rows, "t")
+    assert {r.id: r.reason for r in bad.collect()} == {3: "malformed", 4: "malformed"}
+    leaves = flatten_tree(rows, "t", ["id"])
+    got = leaves.filter("id < 5").collect()
+    assert {(r.id, len(r.path), r.name, len(r.value)) for r in got} == {
+        (0, 0, "a", 1_000_000), (1, 0, "a", 900_000), (2, 990, "v", 3),
+    }
+    assert leaves.filter("id = 5").count() == 20_000
+    flat = flatten_tree(good.filter("id < 2"), "t", ["id"])
+    assert leaves._jdf.queryExecution().logical().toString().count("\n") == (
+        flat._jdf.queryExecution().logical().toString().count("\n")
+    )
+
+
 def test_a_group_wins_over_a_metric_of_its_name(spark):
     leaves = spark.createDataFrame(
         [(1, ["A"], "B", "1"), (1, ["A", "B"], "c", "2"), (1, ["A"], "BB", "3"), (1, ["A"], "x", "4"),
