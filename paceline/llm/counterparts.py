@@ -1,5 +1,7 @@
 """SQL counterparts of the operators that SQL can express, for DuckDB."""
 
+import re
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 CHAT = """
@@ -186,10 +188,12 @@ def secrets_sql(patterns, rule, mark: str, spare: str) -> str:
         f"when k = {i} then regexp_extract(v, {quoted(regex)}, {group})"
         for i, (_, regex, group, _) in enumerate(kinds)
     )
-    allowed = " or ".join(
-        f"regexp_full_match(v, {quoted(x)})" for x in rule.allowed if "\\1" not in x
+    allowed = " or ".join(  # its patterns never go back, so they know no possessive form
+        f"regexp_full_match(v, {quoted(re.sub(r'([+*}])[+]', r'\1', x))})"
+        for x in rule.allowed
+        if "\\1" not in x
     )
-    digits, hexes, mixed = (c.bits for c in rule.classes)
+    hexes, mixed, letters = (c.bits for c in rule.classes)
     last = len(patterns)
     return f"""
 with d as (
@@ -203,10 +207,10 @@ with d as (
   select doc_id, k, kind, a, a + length(v) as b, v from placed
   where ord % 2 = 0 and (k = {last} or length(case {secret} end) >= least)
 ), limits as (
-  select doc_id, a, v, case when regexp_full_match(v, '[0-9]+') then {digits}
-    when regexp_full_match(v, '[0-9a-fA-F]+') then {hexes}
-    when regexp_matches(v, '[A-Za-z]') then {mixed} end as bits
-  from found where k = {last} and regexp_matches(v, '[0-9]') and not ({allowed})
+  select doc_id, a, v, case when regexp_full_match(v, '[0-9a-fA-F]+') then {hexes}
+    when regexp_matches(v, '[A-Za-z]') and regexp_matches(v, '[0-9]') then {mixed}
+    when not regexp_matches(v, '[0-9]') then {letters} end as bits
+  from found where k = {last} and not ({allowed})
     and v <> repeat(v[1], length(v))
 ), windows as (
   select doc_id, a, i from limits, unnest(range(0, length(v) - {rule.window - 1})) as t(i)

@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paceline.llm.arrays import once, slices, starts
+
 #: Stands around a match; where a text holds it itself, another character takes its place.
 MARK, SPARE = "\ue000", "\ue001"
 
@@ -57,16 +59,20 @@ class Entropy:
     window: int = 20
     candidate: str = "[A-Za-z0-9+/_=-]{20,}"
     classes: tuple[CharClass, ...] = (
-        CharClass("digits", "[0-9]+", 3.3),
         CharClass("hex", "[0-9a-fA-F]+", 3.0),
         CharClass("mixed", "(?=.*[0-9])(?=.*[A-Za-z]).*", 3.6),
+        CharClass("letters", "[A-Za-z+/_=-]+", 4.0),
     )
     allowed: tuple[str, ...] = (
         "[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}",  # UUIDs
         "[0-9]+",  # numbers
-        "[A-Za-z]+([_/=+-]+[A-Za-z]+)*[0-9]{0,4}",  # words, paths and numbered names
+        # words, also run together, paths and numbered names; possessive, as a plain repeat of a
+        # group is a recursion over the text
+        "(?:[A-Z]*+[a-z]{2,}+|[A-Z]{2,}+|[_/=+-]++)*+[0-9]{0,4}",
+        "(?:[A-Za-z]{1,3}[_/=+-]++)*+[A-Za-z]{1,3}",  # short parts of paths
         "(.)\\1+",  # rulers
     )
+    block: int = 256
     kind: str = "entropy"
 
 
@@ -79,26 +85,15 @@ def matches(text: Column, regex: str) -> Column:
     marked = F.regexp_replace(
         F.translate(text, MARK, SPARE), F.lit(f"({regex})"), F.lit(f"{MARK}$1{MARK}")
     )
-    pieces = F.split(marked, F.lit(MARK))
     empty = F.array().cast("array<struct<start:int,value:string>>")
-    found = F.aggregate(
-        pieces,
-        F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found")),
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            (~acc["inside"]).alias("inside"),
-            F.when(
-                acc["inside"],
-                F.concat(
-                    acc["found"],
-                    F.array(F.struct(acc["at"].alias("start"), piece.alias("value"))),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
+
+    def placed(pieces: Column) -> Column:
+        whole = F.arrays_zip(
+            starts(F.transform(pieces, lambda p: F.length(p))).alias("start"), pieces.alias("value")
+        )
+        return F.filter(whole, lambda p, i: i % 2 == 1)
+
+    found = once(F.split(marked, F.lit(MARK)), placed)
     return F.when(F.regexp_like(text, F.lit(regex)), found).otherwise(empty)
 
 
@@ -129,83 +124,105 @@ def pattern_spans(text: Column, pattern: Pattern, order: int) -> Column:
     )
 
 
-def window_sums(codes: Column, window: int) -> Column:
-    """For each character of a candidate, the sum of n*log2(n) over the counts in its window.
+#: The first code of the candidates' alphabet, and how many codes there are from it on.
+FIRST_CODE, CODES = 43, 80
 
-    The window ends at the character. One character enters and one leaves at a time, so a step
-    changes two counts: the sum follows by the differences of n*log2(n).
+
+def high_windows(codes: Column, rule: Entropy, limit: Column) -> Column:
+    """(first, last): where the first and the last window of high entropy begin, nulls if none does.
+
+    The codes of a candidate are taken in blocks of windows. In a block one character enters the
+    window and one leaves it at a time, so a step changes two counts, and the sum of n*log2(n)
+    over the counts follows by its differences.
     """
+    window, size = rule.window, F.size(codes)
 
     def weight(n: Column) -> Column:
         return F.when(n > 1, n * F.log2(n.cast("double"))).otherwise(F.lit(0.0))
 
-    counts = F.array_repeat(F.lit(0), 128)
-    start = F.struct(
-        counts.alias("counts"),
-        F.lit(0.0).alias("sum"),
-        F.lit(0).alias("at"),
-        F.array().cast("array<double>").alias("sums"),
-    )
+    def changed(counts: Column, code: Column, by: int) -> Column:
+        return F.concat(
+            F.slice(counts, F.lit(1), code),
+            F.array(F.element_at(counts, code + 1) + by),
+            F.slice(counts, code + 2, F.lit(CODES)),
+        )
 
-    def step(acc: Column, code: Column) -> Column:
-        gone = F.when(
-            acc["at"] >= window,
-            F.element_at(codes, F.greatest(acc["at"] - window + 1, F.lit(1))),
-        ).otherwise(F.lit(-1))
-        come_n = F.element_at(acc["counts"], code + 1)
-        gone_n = F.when(gone >= 0, F.element_at(acc["counts"], F.greatest(gone, F.lit(0)) + 1))
-        total = (
-            acc["sum"]
-            + F.when(gone == code, F.lit(0.0)).otherwise(
-                weight(come_n + 1)
-                - weight(come_n)
-                + F.coalesce(weight(gone_n - 1) - weight(gone_n), F.lit(0.0))
-            )
+    most = window * (F.log2(F.lit(float(window))) - limit)
+    nothing = F.lit(None).cast("int")
+
+    def block(part: Column, at: Column) -> Column:
+        start = F.struct(
+            F.array_repeat(F.lit(0), CODES).alias("counts"),
+            F.lit(0.0).alias("sum"),
+            F.lit(0).alias("i"),
+            nothing.alias("first"),
+            nothing.alias("last"),
         )
-        return F.struct(
-            F.transform(
-                acc["counts"],
-                lambda n, i: n + (i == code).cast("int") - (i == gone).cast("int"),
-            ).alias("counts"),
-            total.alias("sum"),
-            (acc["at"] + 1).alias("at"),
-            F.concat(acc["sums"], F.array(total)).alias("sums"),
+
+        def step(acc: Column, code: Column) -> Column:
+            full = acc["i"] >= window
+            gone = F.when(full, F.element_at(part, F.greatest(acc["i"] - window + 1, F.lit(1))))
+            n_gone = F.element_at(acc["counts"], gone + 1)
+            left = F.when(full, changed(acc["counts"], gone, -1)).otherwise(acc["counts"])
+            less = F.when(full, weight(n_gone - 1) - weight(n_gone)).otherwise(F.lit(0.0))
+
+            def enter(left: Column) -> Column:
+                n = F.element_at(left, code + 1)
+                total = acc["sum"] + less + weight(n + 1) - weight(n)
+                place = at + acc["i"] - window + 1
+                high = (acc["i"] >= window - 1) & (total <= most)
+                return F.struct(
+                    changed(left, code, 1).alias("counts"),
+                    total.alias("sum"),
+                    (acc["i"] + 1).alias("i"),
+                    F.coalesce(acc["first"], F.when(high, place)).alias("first"),
+                    F.when(high, place).otherwise(acc["last"]).alias("last"),
+                )
+
+            return once(left, enter)
+
+        return F.aggregate(
+            part, start, step, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last"))
         )
 
-    return F.aggregate(codes, start, step, lambda acc: acc["sums"])
+    each = F.transform(
+        slices(size - window + 1, rule.block),
+        lambda k: once(
+            F.slice(codes, k * rule.block + 1, rule.block + window - 1),
+            lambda part: block(part, k * rule.block),
+        ),
+    )
+    return once(
+        each,
+        lambda each: F.struct(
+            F.array_min(F.transform(each, lambda e: e["first"])).alias("first"),
+            F.array_max(F.transform(each, lambda e: e["last"])).alias("last"),
+        ),
+    )
 
 
 def entropy_spans(text: Column, rule: Entropy, order: int) -> Column:
     """The part of each candidate that its windows of high entropy cover, from first to last."""
-    bits = F.lit(None).cast("double")
-    suspects = F.filter(
-        matches(text, rule.candidate),
-        lambda m: m["value"].rlike("[0-9]")
-        & ~F.lit(False).__or__(
-            m["value"].rlike("^(?:" + "|".join(f"(?:{x})" for x in rule.allowed) + ")$")
-        ),
-    )
+    allowed = "^(?:" + "|".join(f"(?:{x})" for x in rule.allowed) + ")$"
+    suspects = F.filter(matches(text, rule.candidate), lambda m: ~m["value"].rlike(allowed))
 
     def high(m: Column) -> Column:
-        limit = bits
+        limit = F.lit(None).cast("double")
         for kind in reversed(rule.classes):
             limit = F.when(m["value"].rlike(f"^(?:{kind.regex})$"), F.lit(kind.bits)).otherwise(
                 limit
             )
-        codes = F.transform(F.split(m["value"], ""), lambda c: F.ascii(c))
-        ends = F.transform(
-            window_sums(codes, rule.window),
-            lambda total, i: F.when(
-                (i >= rule.window - 1)
-                & (F.log2(F.lit(float(rule.window))) - total / rule.window >= limit),
-                i,
+        codes = F.transform(F.split(m["value"], ""), lambda c: F.ascii(c) - FIRST_CODE)
+        return once(
+            F.struct(codes.alias("codes"), limit.alias("limit")),
+            lambda x: once(
+                high_windows(x["codes"], rule, x["limit"]),
+                lambda w: F.struct(
+                    (m["start"] + w["first"]).alias("start"),
+                    (m["start"] + w["last"] + rule.window).alias("end"),
+                ),
             ),
         )
-        ends = F.filter(ends, lambda i: i.isNotNull())
-        return F.struct(
-            (m["start"] + F.array_min(ends) - rule.window + 1).alias("start"),
-            (m["start"] + F.array_max(ends) + 1).alias("end"),
-        )
 
     found = F.filter(F.transform(suspects, high), lambda s: s["start"].isNotNull())
     return F.transform(found, lambda s: span(s["start"], order, rule.kind, s["end"]))

@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from paceline.llm import secrets
@@ -29,7 +30,7 @@ def entropy(text, rule):
     for m in re.finditer(rule.candidate, text):
         value = m[0]
         limit = next((c.bits for c in rule.classes if re.fullmatch(c.regex, value)), None)
-        if not re.search("[0-9]", value) or limit is None:
+        if limit is None:
             continue
         if any(re.fullmatch(x, value) for x in rule.allowed):
             continue
@@ -88,6 +89,29 @@ def test_spans_and_redaction(spark):
     assert added > 20
 
 
+def test_letters_without_a_digit(spark):
+    key, words = "QwErTyUiOpAsDfGhJkLzXcVbNm", "getHTTPResponseCodeOfTheServer/someOtherWords_inAPath"
+    docs = spark.createDataFrame([(1, f"a {key} b"), (2, words), (3, "ab/cde/f/gh/ij/k-lmn/op/qr/st/u")], "doc_id int, text string")
+    found = {r.doc_id: r.spans for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert found == {1: f"entropy:2:{2 + len(key)}", 2: "", 3: ""}
+
+
+def test_one_long_text_does_not_end_the_job(spark):
+    """Paths, data URIs and lists of keys that a pattern's recursion or a fold over copies would not survive."""
+    rng = random.Random(9)
+    run = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(1_000_000))
+    many = " ".join(f"token={i:06d}abc" for i in range(20_000))
+    texts = ["ab/" * 5000 + "ab-1x", "ab/" * 300_000 + "ab-1x", run, many, "a" * 1_000_000, "Ab1" * 300_000, "x" * 25 + "AKIA" * 50_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    start = time.perf_counter()
+    rows = {r.doc_id: r for r in secrets.digest(secrets.scan(docs)).collect()}
+    assert time.perf_counter() - start < 60
+    for doc, text in enumerate(texts):
+        own, every = wanted(text)
+        assert rows[doc].spans == listed(every)
+    assert rows[3].n_assign == 20_000 and rows[2].spans.startswith("entropy:0:1000000")
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.digest(secrets.scan(docs)).count() == 0
