@@ -14,6 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paceline.llm.arrays import once
 from paceline.session import saved
 
 #: Names of licenses and the wording of their notices.
@@ -68,6 +69,10 @@ def full_texts() -> list[tuple[str, str]]:
     return sorted(texts.items())
 
 
+#: Words of a text: letters and digits, with single dots and hyphens inside.
+TERMS = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+
+
 @dataclass(frozen=True)
 class Settings:
     """score: least cosine of a match. file_share: part of a text that passages of a license file
@@ -79,7 +84,8 @@ class Settings:
     score: float = 0.6
     file_share: float = 0.5
     anchors: str = "(?i)licen[sc]e|copyright|public domain|permission is hereby"
-    terms: str = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+    # possessive: a plain repeat of a group is a recursion over the text
+    terms: str = "[a-z0-9]++(?:[.-][a-z0-9]++)*+"
     headers: tuple[tuple[str, str], ...] = HEADERS
     contained: float = 0.8
     run: int = 5
@@ -103,7 +109,7 @@ def scored(lines: DataFrame, settings: Settings, text: str = "line") -> DataFram
     """(line, license, score) of the best template of each line that reaches the least score.
 
     lines is (line, n), n the number of passages that read so; another column may hold the text,
-    line then stands for it. The weight of a term is its count
+    line is its digest then. The weight of a term is its count
     times 1 + ln((1 + passages) / (1 + passages with the term)). Ties go to the first name.
     """
     spark = lines.sparkSession
@@ -149,12 +155,7 @@ def scored(lines: DataFrame, settings: Settings, text: str = "line") -> DataFram
 
 #: Comment marks at the start of a line, and what a license tag says.
 MARKS = r"(?m)^[ \t]*(?:[/*#;%!<>|\"'-]+|(?:dnl|rem|REM)\b)?[ \t]*"
-TAG = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]+(?:\)?[ \t]+(?:OR|AND|WITH)[ \t]+\(?[A-Za-z0-9.+-]+)*)"
-
-
-def once(value: Column, then) -> Column:
-    """then of a value that is worked out once, not anew for each element of an array."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+TAG = r"SPDX-License-Identifier:[ \t]*\(?([A-Za-z0-9.+-]++(?:\)?[ \t]++(?:OR|AND|WITH)[ \t]++\(?[A-Za-z0-9.+-]++)*+)"
 
 
 def blocks(plain: Column, settings: Settings) -> Column:
@@ -167,7 +168,7 @@ def blocks(plain: Column, settings: Settings) -> Column:
             lambda all_: F.transform(all_, lambda x, i: F.array_join(F.slice(all_, i + 1, size), " ")),
         )
 
-    near = r"(?:[^\s]+\s+){0,%d}[^\s]*(?:" + settings.anchors.removeprefix("(?i)") + r")[^\s]*(?:\s+[^\s]+){0,%d}"
+    near = r"(?<!\S)(?:[^\s]++\s++){0,%d}[^\s]*(?:" + settings.anchors.removeprefix("(?i)") + r")[^\s]*(?:\s+[^\s]+){0,%d}"
     lines, one = F.split(plain, r"\r?\n"), F.regexp_replace(plain, r"\s+", " ")
     sentences = F.split(one, r"(?<=[.;!?:])\s+")
     parts = F.concat(
@@ -250,11 +251,11 @@ def tagged(plain: DataFrame, settings: Settings) -> DataFrame:
 
 def noticed(plain: DataFrame, settings: Settings) -> DataFrame:
     """Files with a block that is like a notice or a usual header."""
+    tasks = 4 * int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = saved(
-        plain.select("path", F.length("plain").alias("size"), F.explode(blocks(F.col("plain"), settings)).alias("text"))
-        .withColumn("line", F.xxhash64("text"))
+        plain.repartition(tasks, "path").select("path", F.length("plain").alias("size"), F.explode(blocks(F.col("plain"), settings)).alias("text"))
+        .withColumn("line", F.sha2("text", 256))
     )
-    # Blocks are long and have many terms, so their hashes go through the joins.
     lines = found.groupBy("line").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     more = replace(settings, templates=(*settings.templates, *settings.headers))
     return (
@@ -282,20 +283,26 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     files in the directory license_dir, and ``none``. A text that mostly is a full license counts
     before a tag, a tag before a full license in a longer text, that before passages; of several
     passages the best counts, of several license files in a directory too; ties go to the first
-    name. Files that share a path are one file; a null path is in no directory, a null or empty
-    text has no license. Columns with the names of the results are replaced.
+    name. Files that share a path are one file; those without a path are one each and in no
+    directory. A null or empty text has no license. Columns with the names of the results are replaced.
     """
     files = files.drop("license", "how", "score", "license_dir")
+    # a path cannot hold the character that marks the texts of files without one
+    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    key = F.coalesce(F.col("path"), F.concat(F.lit("\0"), digest))
     found = saved(
-        files.select("path", F.length("text").alias("size"), passages(F.col("text"), settings).alias("p"))
+        files.select(key.alias("path"), F.length("text").alias("size"), passages(F.col("text"), settings).alias("p"))
         .where("size(p) > 0")
-        .select("path", "size", F.explode("p").alias("line"))
+        .select("path", "size", F.explode("p").alias("text"))
+        .withColumn("line", F.sha2("text", 256))
     )
-    lines = found.groupBy("line").agg(F.count("*").alias("n"))
+    # A line has many terms and may be the whole text, so its digest goes through the joins.
+    lines = found.groupBy("line").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     matched = (
-        found.join(scored(saved(lines), settings), "line")
+        found.select("path", "size", F.length("text").alias("chars"), "line")
+        .join(scored(saved(lines), settings, "text"), "line")
         .groupBy("path")
-        .agg(best_of(), F.sum(F.length("line")).alias("covered"), F.max("size").alias("size"))
+        .agg(best_of(), F.sum("chars").alias("covered"), F.max("size").alias("size"))
         .select(
             "path",
             "best.license",
@@ -306,7 +313,7 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     )
     plain = saved(
         files.where(F.regexp_like("text", F.lit(settings.anchors))).select(
-            "path", F.trim(F.regexp_replace("text", MARKS, "")).alias("plain")
+            key.alias("path"), F.trim(F.regexp_replace("text", MARKS, "")).alias("plain")
         )
     )
     # A block adds nothing where a line says the same.
@@ -337,7 +344,7 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
         )
     )
     speaking = (
-        own.where("is_file and path is not null")
+        own.where(F.col("is_file") & ~F.col("path").startswith("\0"))
         .groupBy(parent(F.col("path")).alias("license_dir"))
         .agg(best_of())
         .select(
@@ -367,10 +374,11 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     kept = [c for c in files.columns if c != "text"]
     return (
         files.select(
-            F.struct(*(F.col(f"`{c}`") for c in kept)).alias("file"), parent(F.col("path")).alias("dir")
+            F.struct(*(F.col(f"`{c}`") for c in kept)).alias("file"),
+            parent(F.col("path")).alias("dir"),
+            key.alias("path"),
         )
-        .join(own, F.col("file").getField("path").eqNullSafe(own["path"]), "left")
-        .drop(own["path"])
+        .join(own, "path", "left")
         .join(near, "dir", "left")
         .select(
             *(F.col("file").getField(c).alias(c) for c in kept),

@@ -129,7 +129,7 @@ SQL: dict[str, str] = {
         secrets.PATTERNS, secrets.Entropy(), secrets.MARK, secrets.SPARE
     ),
     "op7_license_scan": counterparts.licenses_sql(
-        licenses.TEMPLATES, licenses.Settings().anchors, licenses.Settings().terms
+        licenses.TEMPLATES, licenses.Settings().anchors, licenses.TERMS
     ),
     "op10_decontaminate": counterparts.BENCHMARK,
     "op11_hard_negatives": counterparts.NEGATIVES,

@@ -126,3 +126,23 @@ def test_license_files_headers_and_tags(spark):
     files = spark.createDataFrame([r[:2] for r in rows], "path string, text string").repartition(3)
     found = {r.path: (r.license, r.how) for r in licenses.licensed(files).collect()}
     assert found == {r[0]: r[2:] for r in rows}
+
+
+def test_one_long_text_does_not_end_the_job(spark):
+    """Dotted runs, tags and words without an end beside a notice."""
+    rows = [
+        ("p/a.py", f"{MIT}\n" + "a.b-" * 50_000 + "c"),
+        ("p/b.py", f"# {MIT}\n" + "x" * 400_000),
+        ("p/c.py", "SPDX-License-Identifier: MIT" + " OR MIT" * 10_000 + "\n"),
+        ("p/d.py", "some words " * 30_000 + MIT),
+    ]
+    found = {r.path: r.license for r in licenses.licensed(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert found["p/a.py"] == found["p/b.py"] == found["p/d.py"] == "MIT" and found["p/c.py"].startswith("MIT OR MIT")
+
+
+def test_files_without_a_path_keep_to_themselves(spark):
+    rows = [(None, f"code and code and code and more of it\n{MIT}\nend"), (None, "nothing"), (None, f"more of it, prose and prose and prose and prose and prose and prose\n{APACHE}"), (None, None)]
+    found = licenses.licensed(spark.createDataFrame(rows, "path string, text string")).collect()
+    assert Counter((r.license, r.how) for r in found) == Counter(
+        [("MIT", "header"), ("Apache-2.0", "header"), (None, "none"), (None, "none")]
+    )
