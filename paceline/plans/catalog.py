@@ -614,3 +614,14 @@ def stream_click_count(spark, folder):
 @query
 def stream_evaluate(spark, folder):
     return flat_actions(reports.evaluated(spark, folder)).drop("seq")
+
+
+@query
+def stream_evaluate_keyed(spark, folder):
+    return flat_actions(reports.evaluated_keyed(spark, folder)).drop("seq")
+
+
+@query
+def stream_evaluate_timed(spark, folder):
+    """Evaluated by timers alone, after all input was read."""
+    return flat_actions(reports.evaluated_by_timers(spark, folder)).drop("seq")

@@ -713,3 +713,4 @@ SQL: dict[str, str] = {
         SELECT job_id, attempt_id, current_cores, target_cores, containers, 'ISSUED' AS status,
                type FROM firstprop""",
 }
+SQL["stream_evaluate_keyed"] = SQL["stream_evaluate_timed"] = SQL["stream_evaluate"]

@@ -1,5 +1,7 @@
 """The driver tables sent through the streaming jobs until all input is used up."""
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from paceline.session import run_dir
 from paceline.sources.readers import file_stream
 from paceline.sources.writers import to_files
 from paceline.streaming.clicks import count_to_files
+from paceline.streaming.keyed import KeyedScaler
 from paceline.streaming.scaler import Scaler, StateTables
 
 ALL_INPUT = {"availableNow": True}
@@ -82,3 +85,39 @@ def evaluated(spark: SparkSession, folder: str) -> DataFrame:
     messages = views.messages(_event_stream(spark, folder))
     scaler.start(messages, f"{run}/checkpoint", trigger=ALL_INPUT).awaitTermination()
     return scaler.tables.read(spark, "actions", scaler.last_step)
+
+
+def _keyed(spark: SparkSession, folder: str, run: str, interval_ms: int | None) -> KeyedScaler:
+    return KeyedScaler(
+        StateTables(f"{run}/state"),
+        views.SETTINGS,
+        job_config=views.job_config(views.events(spark, folder)),
+        interval_ms=interval_ms,
+        event_time=True,
+    )
+
+
+def evaluated_keyed(spark: SparkSession, folder: str) -> DataFrame:
+    """As :func:`evaluated`, with the state of jobs in a state store."""
+    run = run_dir(spark)
+    scaler = _keyed(spark, folder, run, None)
+    messages = views.messages(_event_stream(spark, folder))
+    scaler.start(messages, f"{run}/checkpoint", trigger=ALL_INPUT).awaitTermination()
+    return scaler.tables.read(spark, "actions", scaler.last_step)
+
+
+def evaluated_by_timers(spark: SparkSession, folder: str, patience_s: int = 600) -> DataFrame:
+    """The queue after two rounds that only timers started, long after the last message was read."""
+    run = run_dir(spark)
+    scaler = _keyed(spark, folder, run, 2000)
+    messages = views.messages(_event_stream(spark, folder))
+    running = scaler.start(messages, f"{run}/checkpoint", trigger={"processingTime": "1 second"})
+    end = time.monotonic() + patience_s
+    try:
+        while scaler.heard < 2 and time.monotonic() < end and running.isActive:
+            time.sleep(0.2)
+    finally:
+        running.stop()
+    if scaler.heard < 2:
+        raise TimeoutError("no timer fired in time")
+    return scaler.tables.read(spark, "actions", scaler.last_step)

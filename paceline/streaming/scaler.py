@@ -73,6 +73,16 @@ class StateTables:
             return spark.createDataFrame([], TABLES[name])
         return spark.read.schema(TABLES[name]).parquet(self._path(name, step))
 
+    def clock(self, spark: SparkSession, step: int) -> DataFrame:
+        """The last event time that was known after a step, in one row; before the first step none."""
+        if step < 0:
+            return spark.createDataFrame([], "clock bigint")
+        return spark.read.schema("clock bigint").parquet(self._path("clock", step))
+
+    def keep_clock(self, rows: DataFrame, step: int) -> DataFrame:
+        rows.write.mode("overwrite").parquet(self._path("clock", step))
+        return self.clock(rows.sparkSession, step)
+
     def write(self, rows: DataFrame, name: str, step: int) -> DataFrame:
         columns = [F.col(f.name).cast(f.dataType) for f in TABLES[name].fields]
         rows.select(*columns).write.mode("overwrite").parquet(self._path(name, step))
