@@ -38,13 +38,19 @@ def running(
     how: str = "max",
     chunk: int = CHUNK,
 ) -> DataFrame:
-    """Add ``out``: max (or count) of ``value`` over the earlier rows of the same key.
+    """Add ``out``: the max, count or last of ``value`` over the earlier rows of the same key.
 
-    The row itself is not included. Keys must not be null. Large keys are looked for right
+    The row itself is not included, nulls do not count. Keys must not be null. Large keys are looked for right
     away. The rows are shuffled once, by (keys, chunk); only those of large keys are
     aggregated and joined with carried values beside that.
     """
-    fold, merge = {"max": (F.max, F.max), "count": (F.count, F.sum)}[how]
+    def last(value: str) -> Column:
+        return F.last(value, ignorenulls=True)
+
+    fold, merge = {"max": (F.max, F.max), "count": (F.count, F.sum), "last": (last, last)}[how]
+    total = fold("_value")
+    if how == "last":  # without a window there is no order
+        total = F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col(arr)))
     rows = df.withColumn("_value", value)
     large = saved(large_keys(df, keys, chunk))
     if large.isEmpty():
@@ -60,7 +66,7 @@ def running(
         df.withColumn("_value", value)
         .join(large, keys, "left_semi")
         .groupBy(*keys, chunk_of(arr, chunk).alias("_chunk"))
-        .agg(fold("_value").alias("_total"))
+        .agg(total.alias("_total"))
     )
     before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
     carry = totals.select(
@@ -73,6 +79,8 @@ def running(
     joined = local.join(carry, [*keys, "_chunk"], "left")
     if how == "max":
         result = F.greatest("_local", "_carry")
+    elif how == "last":
+        result = F.coalesce("_local", "_carry")
     else:
         result = F.coalesce("_local", F.lit(0)) + F.coalesce("_carry", F.lit(0))
     return joined.select(*df.columns, result.alias(out))

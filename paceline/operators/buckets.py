@@ -97,20 +97,34 @@ def window_stats(points: DataFrame, *, keys: list[str] = KEYS) -> DataFrame:
     )
 
 
-def rolling(points: DataFrame, length_ms: int, *, keys: list[str] = KEYS) -> DataFrame:
+def rolling(
+    points: DataFrame, length_ms: int, *, keys: list[str] = KEYS, chunk_ms: int | None = None
+) -> DataFrame:
     """The trailing window at every point, not only at the last one.
 
-    Points are pre-aggregated, so a key has at most one row per bucket of its history.
+    A key is cut into chunks of time, by default eight windows long. A point within a window's
+    length of the end of its chunk is copied to the next one, where it only fills windows. So a
+    long history goes to many tasks, and a chunk has at most one row per bucket of its time.
     """
-    frame = Window.partitionBy(*keys).orderBy("bucket").rangeBetween(-length_ms, 0)
-    return points.withColumns(
+    width = max(chunk_ms or 8 * length_ms, length_ms, 1)
+    chunk = F.floor(F.col("bucket") / width)
+    later = F.floor((F.col("bucket") + length_ms) / width)
+    halo = F.when(later > chunk, F.array(chunk, chunk + 1)).otherwise(F.array(chunk))
+    copied = points.select("*", F.posexplode(halo).alias("_copy", "_chunk"))
+    frame = Window.partitionBy(*keys, "_chunk").orderBy("bucket").rangeBetween(-length_ms, 0)
+    filled = copied.withColumns(
         {
             "first_bucket": F.min("bucket").over(frame),
             "avg_v": F.avg("v").over(frame),
             "max_v": F.max("v").over(frame),
             "n_points": F.count(F.lit(1)).over(frame),
         }
-    ).withColumn("is_full", F.col("bucket") - F.col("first_bucket") >= length_ms)
+    )
+    return (
+        filled.filter("_copy = 0")
+        .drop("_copy", "_chunk")
+        .withColumn("is_full", F.col("bucket") - F.col("first_bucket") >= length_ms)
+    )
 
 
 def is_valid_window(

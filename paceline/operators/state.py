@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paceline.functions.sizes import JobSize, size_struct
-from paceline.operators.arrival import newest_per_key
+from paceline.operators.arrival import CHUNK, newest_per_key, running
 from paceline.operators.fold import ATTEMPT, MAX_ATTEMPTS, summarise
 
 
@@ -34,11 +34,50 @@ def with_size(
     return joined.withColumn("size", size).drop(*names)
 
 
+SINCE_EVER = -(2**60)
+
+
+def with_size_as_of(
+    state: DataFrame,
+    history: DataFrame,
+    default: JobSize = JobSize(),
+    *,
+    at: str = "first_time",
+    chunk: int = CHUNK,
+) -> DataFrame:
+    """Attach the size that was configured when a deployment was first seen.
+
+    ``history`` is (job_id, valid_from, seq, container columns): a row is in force from
+    ``valid_from``, epoch millis, that moment included, until the next one of its job. Of rows
+    from the same moment the one with the highest ``seq`` counts; a null moment is since ever. Before
+    the first row, and for jobs without any, the default holds.
+
+    Sightings and rows of the history are put in one order per job, and the last row is carried
+    forward, so the join matches no pairs; a job with many of either is cut into chunks of time.
+    """
+    names = ["container_mb", "container_num_cores", "container_count"]
+    moment = F.coalesce("valid_from", F.lit(SINCE_EVER))
+    rows = (
+        history.filter(F.col("job_id").isNotNull())
+        .groupBy("job_id", moment.alias("_time"))
+        .agg(F.max_by(F.struct(*names), F.coalesce("seq", F.lit(SINCE_EVER))).alias("_size"))
+        .select("job_id", (F.col("_time") * 2).alias("_place"), "_size")
+    )
+    seen = state.withColumn("_place", F.col(at) * 2 + 1)
+    both = seen.withColumn("_seen", F.lit(True)).unionByName(rows, allowMissingColumns=True)
+    told = running(both, ["job_id"], F.col("_size"), "_now", arr="_place", how="last", chunk=chunk)
+    size = size_struct(*[F.coalesce(F.col("_now")[n], F.lit(getattr(default, n))) for n in names])
+    return told.filter("_seen").withColumn("size", size).drop("_place", "_size", "_seen", "_now")
+
+
 def latest_attempts(state: DataFrame) -> DataFrame:
-    """Per job the attempt that was created last, with its whole state row."""
-    rest = [c for c in state.columns if c != "job_id"]
-    newest = state.groupBy("job_id").agg(F.max_by(F.struct(*rest), "created").alias("_row"))
-    return newest.select("job_id", *[F.col("_row")[c].alias(c) for c in rest])
+    """Per job the attempt that was created last, with its whole state row.
+
+    Only numbers are aggregated; the row is joined to its own number afterwards, as arrival
+    numbers tell attempts of a job apart.
+    """
+    newest = state.groupBy("job_id").agg(F.max("created").alias("created"))
+    return state.join(newest, ["job_id", "created"], "left_semi")
 
 
 def keep_newest_attempts(state: DataFrame, keep: int = MAX_ATTEMPTS) -> DataFrame:

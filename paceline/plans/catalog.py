@@ -160,6 +160,15 @@ def job_state(spark, folder):
     )
 
 
+@query
+def job_state_as_of(spark, folder):
+    """The size that was in force on the day when a deployment was first seen."""
+    rows = events(spark, folder)
+    kept = read_lives(views.messages(rows)).state
+    sized = state.with_size_as_of(kept, views.job_config_history(rows), views.DEFAULT_SIZE)
+    return sized.select("job_id", "attempt_id", "created", "first_time", "size.*")
+
+
 @query
 def latest_attempt(spark, folder):
     return state.latest_attempts(_state(spark, folder)).select(

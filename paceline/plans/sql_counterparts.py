@@ -491,6 +491,21 @@ SQL: dict[str, str] = {
         WITH {STATE}
         SELECT job_id, attempt_id, created, first_time, last_time, container_mb,
                container_num_cores, container_count FROM state""",
+    "job_state_as_of": f"""
+        WITH {STATE}, history AS (
+          SELECT event_type || '-' || CAST(user_id % 20 AS VARCHAR) AS job_id,
+                 epoch_us(ts) // 1000 // {DAY} * {DAY} AS valid_from,
+                 CAST(1024 * (1 + event_id % 4) AS INTEGER) AS mb,
+                 CAST(60 + event_id % 7 AS INTEGER) AS cores, CAST(1 + event_id % 3 AS INTEGER) AS n
+          FROM events WHERE event_type <> 'view' AND event_id % 5 = 0
+          QUALIFY row_number() OVER (PARTITION BY ALL_KEYS ORDER BY event_id DESC) = 1
+        )
+        SELECT s.job_id, attempt_id, created, first_time, coalesce(mb, 1024) AS container_mb,
+               coalesce(cores, 60) AS container_num_cores, coalesce(n, 1) AS container_count
+        FROM plain_state s ASOF LEFT JOIN history h
+          ON h.job_id = s.job_id AND s.first_time >= h.valid_from""".replace(
+        "ALL_KEYS", f"event_type, user_id % 20, epoch_us(ts) // 1000 // {DAY}"
+    ),
     "latest_attempt": f"""
         WITH {STATE} SELECT job_id, attempt_id, first_time, last_time FROM latest""",
     "attempts_top_k": f"""

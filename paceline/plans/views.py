@@ -118,6 +118,19 @@ def job_config(rows: DataFrame) -> DataFrame:
     )
 
 
+def job_config_history(rows: DataFrame) -> DataFrame:
+    """Sizes of jobs from some day on; several are from the same day, many jobs have none for long."""
+    n, ts = F.col("event_id"), to_millis(F.col("ts"))
+    return rows.filter((F.col("event_type") != "view") & (n % 5 == 0)).select(
+        job_id().alias("job_id"),
+        (ts - ts % DAY_MS).alias("valid_from"),
+        n.alias("seq"),
+        (1024 * (1 + n % 4)).cast("int").alias("container_mb"),
+        (60 + n % 7).cast("int").alias("container_num_cores"),
+        (1 + n % 3).cast("int").alias("container_count"),
+    )
+
+
 def capacity(rows: DataFrame) -> DataFrame:
     """Free resources of the jobs of type ``click`` and ``error``; others are unlimited."""
     n = F.col("user_id") % 20
