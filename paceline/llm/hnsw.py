@@ -37,6 +37,23 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0)
 
 
+def frame(matrix: np.ndarray) -> tuple[np.ndarray, float]:
+    """(centre, radius) of the rows: a graph works on rows less the centre by the radius, so that
+    single precision serves vectors of any magnitude and any distance from the origin."""
+    unit = np.abs(matrix).max(initial=0) or 1.0
+    centre = (matrix / unit).mean(0) * unit if len(matrix) else np.zeros(matrix.shape[1])
+    return centre, np.abs(matrix - centre).max(initial=0) or unit
+
+
+def fitted(rows: np.ndarray, centre: np.ndarray, radius: float, most: float = 1e3) -> np.ndarray:
+    """Rows in a frame. One that is far outside is moved along its direction to where the order of
+    distances is that of the far point, but single precision still tells them apart."""
+    out = (rows - centre) / radius
+    far = np.abs(out).max(axis=1, initial=0)
+    out = out / np.where(far > most, far / most, 1.0)[:, None]
+    return out.astype(np.float32)
+
+
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of all rows of a to all rows of b, for the choice of neighbours."""
     out = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * (a @ b.T)
@@ -214,7 +231,7 @@ def graphs(vectors: DataFrame, settings: Settings) -> DataFrame:
             for start, end in zip(cuts[:-1], cuts[1:], strict=True):
                 part = table.slice(start, end - start).combine_chunks()
                 matrix = np.stack(part["v"].to_numpy()).astype(np.float64)
-                levels = build(matrix.astype(np.float32), settings)
+                levels = build(fitted(matrix, *frame(matrix)), settings)
                 ids = part["ids"].combine_chunks()
                 yield pa.RecordBatch.from_pylist(
                     [
@@ -326,9 +343,8 @@ def answered(row: dict, settings: Settings):
         for x in row["levels"]
     ]
     asked = np.array([q["embedding"] for q in row["asked"]], np.float64)
-    _, found = search(
-        matrix.astype(np.float32), levels, asked.astype(np.float32), settings.beam
-    )
+    at = frame(matrix)
+    _, found = search(fitted(matrix, *at), levels, fitted(asked, *at), settings.beam)
     out = []
     for query, vector, nodes in zip(row["asked"], asked, found, strict=True):
         nodes = nodes[nodes >= 0]

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from paceline.llm import hnsw
 
@@ -62,6 +63,24 @@ def test_recall_and_scores(spark):
     assert [i for _, i in got[0]] == [4, 8, 12, 16, 20, 24, 28, 32, 36, 40]
 
 
+@pytest.mark.parametrize("factor, offset", [(1e20, 0.0), (1e-24, 0.0), (0.1, 1000.0), (1e-3, -5e4)])
+def test_recall_at_any_scale(spark, factor, offset):
+    rng = np.random.default_rng(7)
+    matrix = rng.normal(size=(1200, 24)) * factor + offset
+    data = [(i, [float(x) for x in v], 0) for i, v in enumerate(matrix)]
+    vectors = spark.createDataFrame(data, "vec_id long, embedding array<double>, label int").repartition(3)
+    settings = hnsw.Settings(shard_rows=500)
+    found = hnsw.neighbours(vectors, vectors.where("vec_id % 20 = 0"), settings).collect()
+    every = {i: v for i, v, _ in data}
+    wanted = exact({i: v for i, v in every.items() if i % 20 == 0}, every)
+    got = {}
+    for r in found:
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    assert all(len(got[q]) == 10 for q in wanted)
+    hits = sum(len(got[q] & {i for _, i in near}) for q, near in wanted.items())
+    assert hits >= 0.9 * 10 * len(wanted)
+
+
 def test_few_and_no_rows(spark):
     few = spark.createDataFrame([(0, [1.0, 1.0], 0), (1, [1.0, 2.0], 0), (2, [4.0, 1.0], 0)], SCHEMA)
     found = hnsw.neighbours(few, few.where("vec_id = 0")).collect()
