@@ -10,26 +10,20 @@ Messages of a job are read in order of arrival:
 A forgotten attempt may become known again later. Each such life has its own number, the
 column ``life``: unique per life within (job, attempt).
 
-Most jobs never send a disabled message and never bring back a forgotten attempt, so one
-cheap profile pass finds the jobs that do, and only those take the longer ways.
+Most jobs never send a disabled message and have no more attempts than are kept, so one cheap
+profile pass finds the jobs that do, and only those take the longer ways.
 """
 
-import sys
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paceline.operators.arrival import CHUNK, chunk_of, gate, newest_per_key, running
+from paceline.operators.arrival import CHUNK, chunk_of, gate, running
 from paceline.operators.ingest import with_attempt
+from paceline.operators.replay import replayed
 from paceline.session import saved
 
-# The one walk in Python below travels to the workers by value; they need no copy of this.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 MAX_ATTEMPTS = 100
 
 ATTEMPT = ["job_id", "attempt_id"]
@@ -113,15 +107,11 @@ def summarise(rows: DataFrame) -> DataFrame:
 def _unusual_lives(
     rows: DataFrame, jobs: DataFrame, max_attempts: int, chunk: int
 ) -> DataFrame:
-    told = _split_by_resets(rows, chunk)
     crowded = jobs.filter("crowded").select("job_id")
+    told = _split_by_resets(rows.join(crowded, "job_id", "left_anti"), chunk)
     if crowded.isEmpty():
         return told
-    crowd = told.join(crowded, "job_id", "left_semi")
-    returning = saved(_returning_jobs(crowd, max_attempts))
-    gone = _drop_evicted(crowd.join(returning, "job_id", "left_anti"), max_attempts)
-    back = _follow(rows.join(returning, "job_id", "left_semi"), max_attempts, chunk)
-    return told.join(crowded, "job_id", "left_anti").unionByName(gone).unionByName(back)
+    return told.unionByName(_follow(rows.join(crowded, "job_id", "left_semi"), max_attempts, chunk))
 
 
 # --- resets ------------------------------------------------------------------------
@@ -227,113 +217,36 @@ def _find_resets(off: DataFrame, chunk: int) -> DataFrame:
     return spans.join(begun, ["job_id", "span"]).select("job_id", F.explode(found).alias("arr"))
 
 
-def _lists(pdf: pd.DataFrame) -> Iterator[tuple]:
-    return zip(*(pdf[c].tolist() for c in pdf.columns))
-
-
-def _frame(rows: list[tuple], *columns: str) -> pd.DataFrame:
-    frame = pd.DataFrame(rows, columns=list(columns))
-    return frame.astype({c: "Int64" for c in columns if c != "job_id" and c != "attempt_id"})
-
-
 # --- eviction ----------------------------------------------------------------------
-
-
-def _lives(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*LIFE).agg(F.min("arr").alias("created"), F.max("arr").alias("last_arr"))
-
-
-def _returning_jobs(rows: DataFrame, max_attempts: int) -> DataFrame:
-    """Jobs in which an attempt sends a message after newer ones pushed it out.
-
-    Without such a message, forgetting the oldest attempts changes no decision.
-    """
-    order = Window.partitionBy("job_id", "life").orderBy("created")
-    pushed_out = F.lead("created", max_attempts).over(order)
-    late = _lives(rows).withColumn("_out", pushed_out).filter(F.col("last_arr") > F.col("_out"))
-    return late.select("job_id").distinct()
-
-
-def _drop_evicted(rows: DataFrame, max_attempts: int) -> DataFrame:
-    """Clear ``live`` on the lives that newer attempts of the job pushed out."""
-    alive = _lives(rows.filter("live"))
-    kept = newest_per_key(alive, ["job_id"], "created", max_attempts)
-    kept = kept.select(*LIFE, F.lit(True).alias("_kept"))
-    return (
-        rows.join(kept, LIFE, "left")
-        .withColumn("live", F.col("live") & F.col("_kept").isNotNull())
-        .drop("_kept")
-    )
-
-
-# --- jobs whose forgotten attempts come back ------------------------------------------
 #
-# Here every decision needs the queue of known attempts as it is at that moment. A run of
-# neighbouring messages with the same attempt and flag acts like its first message, so
-# only runs are followed, sorted and streamed batch by batch with one short queue in
-# memory; the messages themselves never pass through. A disabled message of an attempt that
-# was never enabled before is a reset whatever the queue holds, so the queue is known to be
-# empty after it: the job is cut there, and its pieces are followed in different tasks.
-
-
-def _pieces(rows: DataFrame, chunk: int) -> DataFrame:
-    """Rows with ``_piece``, the number of certain resets of the job before them."""
-    seen = running(rows, ATTEMPT, F.when(F.col("enabled"), F.col("arr")), "_known", chunk=chunk)
-    certain = F.when(~F.col("enabled") & F.col("_known").isNull(), F.lit(1))
-    told = running(seen, ["job_id"], certain, "_piece", how="count", chunk=chunk)
-    return told.drop("_known")
+# Jobs with more attempts than are kept. The replay tells which messages made an attempt known and which ones emptied the queue.
+# Every message of an unknown attempt is one of these, so the last such message of its own
+# attempt tells each other one its life.
 
 
 def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
-    cut = saved(_pieces(rows, chunk)).withColumn("_chunk", chunk_of("arr", chunk))
-    order = Window.partitionBy("job_id", "_chunk").orderBy("arr")
-    same = (F.lag("attempt_id").over(order) == F.col("attempt_id")) & (
-        F.lag("enabled").over(order) == F.col("enabled")
-    )
-    cut = cut.withColumn("_first", ~F.coalesce(same, F.lit(False)))
-    cut = cut.withColumn("_run", F.sum(F.col("_first").cast("int")).over(order))
-    runs = cut.filter("_first").select(
-        "job_id", "_piece", "_chunk", "_run", "arr", "attempt_id", "enabled"
-    )
-
-    columns = ("job_id", "_piece", "_chunk", "_run", "attempt_id", "life")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place, known = (None, None), {}
-        for pdf in batches:
-            out = []
-            for job, piece, number, run, arr, attempt, enabled in _lists(pdf):
-                if (job, piece) != place:
-                    out.extend((*place, None, None, a, born) for a, born in known.items())
-                    place, known = (job, piece), {}
-                if attempt not in known:
-                    if not enabled:
-                        known.clear()
-                        continue
-                    known[attempt] = arr
-                    if len(known) > max_attempts:
-                        del known[next(iter(known))]
-                out.append((job, piece, number, run, attempt, known[attempt]))
-            yield _frame(out, *columns)
-        yield _frame([(*place, None, None, a, born) for a, born in known.items()], *columns)
-
-    lives = saved(
-        runs.repartition("job_id", "_piece")
-        .sortWithinPartitions("job_id", "_piece", "arr")
-        .mapInPandas(
-            walk,
-            "job_id string, _piece bigint, _chunk bigint, _run bigint, attempt_id string,"
-            " life bigint",
-        )
-    )
-    told = lives.filter(F.col("_run").isNotNull()).drop("attempt_id", "_piece")
-    final = runs.groupBy("job_id").agg(F.max("_piece").alias("_piece"))
-    alive = lives.filter(F.col("_run").isNull()).join(final, ["job_id", "_piece"], "left_semi")
-    alive = alive.select(*LIFE, F.lit(True).alias("_alive"))
-    return (
-        cut.join(told, ["job_id", "_chunk", "_run"])
-        .join(alive, LIFE, "left")
-        .withColumn("live", F.coalesce("_alive", F.lit(False)))
-        .select(*rows.columns, "life", "live")
-    )
-
+    replays = replayed(rows, max_attempts, chunk)
+    changes = replays.select("job_id", F.inline("changes"))
+    # A mark goes right before its message, so that message finds itself.
+    marks = changes.select(
+        *ATTEMPT,
+        (F.col("arr") * 2).alias("_place"),
+        (F.col("arr") * 2 + F.col("enabled").cast("int")).alias("_mark"),
+    )
+    both = rows.withColumn("_place", F.col("arr") * 2 + 1).unionByName(
+        marks, allowMissingColumns=True
+    )
+    told = running(both, ATTEMPT, F.col("_mark"), "_change", arr="_place", chunk=2 * chunk)
+    born = told.filter(F.col("_mark").isNull() & (F.col("_change") % 2 == 1))
+    born = born.withColumn("life", F.expr("_change div 2"))
+
+    last = replays.groupBy("job_id").agg(F.max("chunk").alias("chunk"))
+    known = replays.join(last, ["job_id", "chunk"], "left_semi").select(
+        "job_id", F.explode("queue").alias("attempt_id")
+    )
+    births = changes.filter("enabled").groupBy(*ATTEMPT).agg(F.max("arr").alias("life"))
+    alive = births.join(known, ATTEMPT, "left_semi").withColumn("live", F.lit(True))
+    told = born.join(alive, LIFE, "left").select(
+        *rows.columns, "life", F.coalesce("live", F.lit(False)).alias("live")
+    )
+    return saved(told)  # the gate and the state both start from here

@@ -132,3 +132,36 @@ def test_gate_and_running_count_with_tiny_chunks(spark):
         last = {r.job_id: r.n for r in counted.groupBy("job_id").agg(F.max("n").alias("n")).collect()}
         assert last == {r.job_id: r.n for r in df.groupBy("job_id").agg(F.count("*").alias("n")).collect()}
         assert counted.select("job_id", "n").distinct().count() == 300
+
+
+def test_a_hot_job_is_replayed_in_many_tasks(spark, monkeypatch):
+    """No reset is certain; chunks are rows of their own, and few of them are replayed more than once."""
+    from paceline.operators import replay
+
+    again = []
+
+    def counted(chunks, keep):
+        again.append(chunks.count())
+        return replays(chunks, keep)
+
+    replays = replay._replays
+    monkeypatch.setattr(replay, "_replays", counted)
+    rng = random.Random(13)
+    rows = [
+        dict(m, attempt_id=f"a{min(i // 40 + rng.choice([0, 0, 0, 1, -6]), 60)}") for i, m in enumerate(messages(13, 2000, jobs=1))
+    ]
+    found = replay.replayed(frame(spark, rows), 4, 100).cache()
+    assert found.count() == again[0] == 21 and sum(again[1:]) < 42
+    queue = []
+    changes = []
+    for m in rows:
+        if m["attempt_id"] not in queue:
+            changes.append(m["arr"])
+            queue = [*queue, m["attempt_id"]][-4:]
+    assert [c.arr for r in found.orderBy("chunk").collect() for c in r.changes] == changes
+    assert found.orderBy(F.desc("chunk")).first().queue == queue
+    assert "Python" not in _physical(found)
+
+
+def _physical(df):
+    return df._jdf.queryExecution().executedPlan().toString()
