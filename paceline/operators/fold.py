@@ -225,7 +225,7 @@ def _find_resets(off: DataFrame, chunk: int) -> DataFrame:
 
 
 def _follow(rows: DataFrame, max_attempts: int, chunk: int) -> DataFrame:
-    replays = replayed(rows, max_attempts, chunk)
+    replays = replayed(rows, max_attempts)
     changes = replays.select("job_id", F.inline("changes"))
     # A mark goes right before its message, so that message finds itself.
     marks = changes.select(

@@ -145,13 +145,13 @@ def _guesses(replays: DataFrame, parts: DataFrame, keep: int) -> DataFrame:
     )
 
 
-def replayed(rows: DataFrame, max_attempts: int, width: int = WIDTH) -> DataFrame:
+def replayed(rows: DataFrame, max_attempts: int, width: int | None = None) -> DataFrame:
     """Messages (job_id, arr, attempt_id, enabled) → (job_id, chunk, start, queue, changes).
 
     queue has the known attempts at the end of the chunk, oldest first; changes the messages that
     made an attempt known or, disabled ones, emptied the queue. Jobs without rows have no chunks.
     """
-    chunks = saved(_chunks(rows, min(width, WIDTH)))
+    chunks = saved(_chunks(rows, width or WIDTH))
     replays = saved(_replays(chunks.withColumn("start", _empty(QUEUE)), max_attempts))
     order = Window.partitionBy("job_id").orderBy("part")
     parts = replays.sparkSession.createDataFrame([], f"job_id string, part bigint, start {QUEUE}")

@@ -43,11 +43,17 @@ def with_bus_arrival(records: DataFrame) -> DataFrame:
 
 
 def file_stream(
-    spark: SparkSession, glob: str, like: DataFrame, *, per_batch: int = 1000, **options
+    spark: SparkSession, glob: str, like: DataFrame, *, per_batch: int | None = None, **options
 ) -> DataFrame:
     """Stream over parquet files; the schema is taken from a table of the same shape.
-    ``per_batch`` bounds the files of a micro-batch."""
-    reader = spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch)
+
+    ``per_batch`` bounds the files of a micro-batch. Rows behind a watermark are lost to what
+    uses one, so give it only where files are in order of event time; else feed the stream by
+    :func:`paceline.streaming.slices.fed`.
+    """
+    reader = spark.readStream.schema(like.schema)
+    if per_batch:
+        reader = reader.option("maxFilesPerTrigger", per_batch)
     return reader.options(**options).parquet(glob)
 
 

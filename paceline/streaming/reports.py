@@ -2,8 +2,9 @@
 
 import time
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from paceline.operators.buckets import dedupe_deliveries
 from paceline.plans import views
@@ -13,6 +14,7 @@ from paceline.sources.writers import to_files
 from paceline.streaming.clicks import count_to_files
 from paceline.streaming.keyed import KeyedScaler
 from paceline.streaming.scaler import Scaler, StateTables
+from paceline.streaming.slices import ROWS, by_order, fed
 
 ALL_INPUT = {"availableNow": True}
 
@@ -21,54 +23,66 @@ def _event_stream(spark: SparkSession, folder: str) -> DataFrame:
     return file_stream(spark, f"{folder}/events*.parquet", views.events(spark, folder))
 
 
-def click_count(spark: SparkSession, folder: str) -> DataFrame:
-    """Counts of the windows that closed; the last ones still wait for later clicks."""
+def _wall_clock(counts: DataFrame) -> DataFrame:
+    return counts.withColumns(
+        {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
+    )
+
+
+def _counted(rows: DataFrame, number: Column) -> DataFrame:
+    """Counts of the clicks of a table that comes in slices."""
+    spark = rows.sparkSession
     run = run_dir(spark)
-    # A watermark needs an instant; the tables hold wall-clock times that mean UTC.
-    clicks = _event_stream(spark, folder).withColumn("ts", F.col("ts").cast("timestamp"))
-    count_to_files(
-        clicks, f"{run}/counts", f"{run}/checkpoint", trigger=ALL_INPUT, page="event_type"
-    ).awaitTermination()
-    counts = spark.read.parquet(f"{run}/counts")
-    wall_clock = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return counts.withColumns(wall_clock)
 
+    def start(clicks: DataFrame) -> StreamingQuery:
+        # A watermark needs an instant; the tables hold wall-clock times that mean UTC.
+        clicks = clicks.withColumn("ts", F.col("ts").cast("timestamp"))
+        return count_to_files(
+            clicks, f"{run}/counts", f"{run}/checkpoint", trigger=ALL_INPUT, page="event_type"
+        )
+
+    fed(rows, number, start)
+    return _wall_clock(spark.read.parquet(f"{run}/counts"))
 
-def late_clicks(spark: SparkSession, folder: str, files: int = 4) -> DataFrame:
-    """Counts of clicks that come in files by time, every fiftieth of the first half two later.
 
-    A file is a micro-batch. A batch drops what is older than the watermark that the batch
-    before it began with, so a click that comes one file late still counts.
+def click_count(spark: SparkSession, folder: str, size: int = ROWS) -> DataFrame:
+    """Counts of the windows that closed; the last ones still wait for later clicks.
+
+    The clicks come by time in batches of about ``size``, so none is late in whatever order
+    the files of the table are.
     """
-    run = run_dir(spark)
-    rows = views.events(spark, folder)
+    rows = views.events(spark, folder).select("ts", "event_type")
+    return _counted(rows, by_order(rows, F.col("ts"), size))
+
+
+def late_clicks(spark: SparkSession, folder: str, slices: int = 4) -> DataFrame:
+    """Counts of clicks that come in slices by time, every fiftieth of the first half two later.
+
+    A slice is a micro-batch. A batch drops what is older than the watermark that the batch
+    before it began with, so a click that comes one slice late still counts.
+    """
+    rows = views.events(spark, folder).select("event_id", "ts", "event_type")
     ends = rows.agg(F.min("ts").alias("a"), F.max("ts").alias("b")).first()
     micros = {k: F.unix_micros(F.lit(ends[k]).cast("timestamp_ntz").cast("timestamp")) for k in "ab"}
     place = F.unix_micros(F.col("ts").cast("timestamp")) - micros["a"]
     width = micros["b"] + 1 - micros["a"]
-    number = F.floor(place * files / width)
-    late = (F.col("event_id") % 50 == 0) & (number < files - 2)
-    number = number + F.when(late, 2).otherwise(0)
-    parts = rows.withColumn("file", number)
-    for k in range(files):  # one after the other: a stream reads files by age
-        parts.filter(F.col("file") == k).drop("file").coalesce(1).write.parquet(f"{run}/in/file={k}")
-    clicks = file_stream(spark, f"{run}/in/file=*", rows, per_batch=1)
-    count_to_files(
-        clicks.withColumn("ts", F.col("ts").cast("timestamp")),
-        f"{run}/counts", f"{run}/checkpoint", trigger=ALL_INPUT, page="event_type",
-    ).awaitTermination()
-    counts = spark.read.parquet(f"{run}/counts")
-    wall_clock = {c: F.col(c).cast("timestamp_ntz") for c in ("window_start", "window_end")}
-    return counts.withColumns(wall_clock)
-
-
-def delivered_once(spark: SparkSession, folder: str) -> DataFrame:
+    number = F.floor(place * slices / width)
+    late = (F.col("event_id") % 50 == 0) & (number < slices - 2)
+    return _counted(rows, number + F.when(late, 2).otherwise(0))
+
+
+def delivered_once(spark: SparkSession, folder: str, size: int = ROWS) -> DataFrame:
     """The messages of a stream that brings every one twice, after the copies were dropped."""
     run = run_dir(spark)
-    messages = views.messages(_event_stream(spark, folder))
-    twice = messages.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
-    once = dedupe_deliveries(twice, ["arr"], "10 minutes")
-    to_files(once, f"{run}/once", f"{run}/checkpoint").trigger(**ALL_INPUT).start().awaitTermination()
+
+    def start(rows: DataFrame) -> StreamingQuery:
+        messages = views.messages(rows)
+        twice = messages.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+        once = dedupe_deliveries(twice, ["arr"], "10 minutes")
+        return to_files(once, f"{run}/once", f"{run}/checkpoint").trigger(**ALL_INPUT).start()
+
+    rows = views.events(spark, folder).select("event_id", "user_id", "ts", "event_type", "value")
+    fed(rows, by_order(rows, F.col("ts"), size), start)
     return spark.read.parquet(f"{run}/once")
 
 

@@ -74,7 +74,8 @@ def test_resets_in_one_chunk(spark):
 
 
 @pytest.mark.parametrize("seed,off", [(7, 0.0), (8, 0.2)])
-def test_attempts_that_come_back_after_being_pushed_out(spark, seed, off):
+def test_attempts_that_come_back_after_being_pushed_out(spark, monkeypatch, seed, off):
+    monkeypatch.setattr("paceline.operators.replay.WIDTH", 70)
     check(spark, messages(seed, 500, jobs=2, attempts=7, off=off), max_attempts=3, chunk=17)
 
 

@@ -23,16 +23,12 @@ NOW = {"availableNow": True}
 
 
 def test_closed_form_of_the_click_generator(spark):
-    """Six pages, one click per page every 15 ms: a thousand clicks per page and window."""
-    clicks = spark.range(6 * 1000 * 3).select(
-        F.timestamp_millis((F.col("id") / 6).cast("bigint") * 15).alias("ts"),
-        F.element_at(
-            F.array(*[F.lit(p) for p in ("/help", "/index", "/shop", "/jobs", "/about", "/news")]),
-            (F.col("id") % 6 + 1).cast("int"),
-        ).alias("page"),
-    )
-    counts = click_counts(clicks, spread=4).collect()
-    assert len(counts) == 18 and {r["count"] for r in counts} == {1000}
+    """Nine pages, one click per page every 30 ms: five hundred clicks per page and window."""
+    ticks = spark.range(500 * 3).select(F.timestamp_millis(F.col("id") * 30).alias("ts"))
+    pages = spark.range(9).select(F.format_string("page-%d", "id").alias("page"))
+    paged = F.explode(F.array(*[F.lit(r.page) for r in pages.collect()]))
+    counts = click_counts(ticks.withColumn("page", paged), spread=4).collect()
+    assert len(counts) == 27 and {r["count"] for r in counts} == {500}
     assert {r.window_end.timestamp() - r.window_start.timestamp() for r in counts} == {15}
 
 
@@ -42,7 +38,7 @@ def test_late_clicks_are_dropped_and_closed_windows_come_once(spark, tmp_path):
 
     def put(name, *seconds):
         lines = [
-            json.dumps({"timestamp": f"2024-01-01T00:00:{s:06.3f}Z", "page": "/help"})
+            json.dumps({"timestamp": f"2024-01-01T00:00:{s:06.3f}Z", "page": "page-1"})
             for s in seconds
         ]
         (tmp_path / "in" / name).write_text("\n".join(lines))
@@ -161,3 +157,27 @@ def test_a_round_without_input_retries_what_was_held_back(spark, tmp_path):
     assert [r.status for r in scaler.tick(spark).collect()] == ["ENQUEUED"]
     free[0] = 2
     assert [r.status for r in scaler.tick(spark).collect()] == ["ISSUED"]
+
+
+def test_batches_are_in_order_whatever_the_order_of_files(spark, tmp_path):
+    """Sixteen files without order, eight batches: no click is late, no message is lost or doubled."""
+    from paceline.streaming import reports
+
+    rows = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    rows.repartition(16, "event_id").write.parquet(str(tmp_path / "events.parquet"))
+    folder = str(tmp_path)
+    one = reports.click_count(spark, folder)
+    assert one.count() and sorted(reports.click_count(spark, folder, 130).collect()) == sorted(one.collect())
+    once = reports.delivered_once(spark, folder, 130).select("arr").collect()
+    assert len(once) == len(set(once)) == rows.count()
+
+
+def test_slices_have_about_the_same_size(spark):
+    rows = spark.range(1000).select((F.col("id") * 7 % 1000).alias("n"))
+    from paceline.streaming.slices import by_order
+
+    sizes = rows.groupBy(by_order(rows, F.col("n"), 130).alias("k")).agg(F.count("*").alias("n"), F.min("n"), F.max("n"))
+    found = [tuple(r) for r in sizes.orderBy("k").collect()]
+    assert [k for k, *_ in found] == list(range(8)) and all(120 <= n <= 130 for _, n, *_ in found)
+    assert all(a[3] < b[2] for a, b in zip(found, found[1:]))
+    assert {r.k for r in rows.limit(0).select(by_order(rows.limit(0), F.col("n"), 5).alias("k")).collect()} == set()
