@@ -67,19 +67,21 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of similar ones.
 
-    Rows that share this id are one document, of which the row with the first text stays.
-    Rows without an id stay.
+    A document is an id with a text: rows that share both are one, of which one row stays, and
+    different texts under one id stand for themselves. Rows without an id stay.
     """
-    groups = near_join.near_join(docs)
-    kept = groups.where("doc_id = class_id").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    named = (
-        docs.join(kept, "doc_id", "left_semi")
+    key = F.struct("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("written"))
+    named = docs.where("doc_id is not null").withColumn("_key", key)
+    groups = near_join.near_join(named.select(F.col("_key").alias("doc_id"), "text"))
+    kept = groups.where("doc_id = class_id").select(F.col("doc_id").alias("_key")).distinct()
+    order = [F.col(c) for c in COLUMNS if c in docs.columns and c not in ("doc_id", "text")]
+    first = Window.partitionBy("_key").orderBy(*order, F.lit(0))
+    one = (
+        named.join(kept, "_key", "left_semi")
         .withColumn("_rank", F.row_number().over(first))
         .where("_rank = 1")
-        .drop("_rank")
     )
-    return named.union(docs.where("doc_id is null").select(named.columns)).select(docs.columns)
+    return one.select(docs.columns).union(docs.where("doc_id is null"))
 
 
 @beside
