@@ -1,3 +1,5 @@
+import hashlib
+
 import corpus_pipeline
 from paceline.llm import langid
 from paceline.llm.queries import QUERIES
@@ -13,6 +15,10 @@ ITEM = "which of the rivers is it that the house by the cloud was for"
 def tables(spark, folder):
     rows = documents()
     rows += [(400, f"Nun, {ITEM}? Genau.", "en", "src0", 3), (401, "the token = abcdef123456 is on it", "en", "src0", 3)]
+    # One id with two texts, of which the second stands for a near copy too.
+    first, second = ([w for r in rows[k : k + 4] for w in (r[1] or "").split()][::-1] for k in (10, 20))
+    rows += [(402, " ".join(first), "en", "src0", 3), (402, " ".join(second), "en", "src1", 3)]
+    rows += [(403, " ".join([*second, "again"]), "en", "src1", 3)]
     spark.createDataFrame(rows, SCHEMA).repartition(3).write.parquet(f"{folder}/documents.parquet")
     items = spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string")
     items.write.parquet(f"{folder}/benchmark.parquet")
@@ -39,13 +45,15 @@ def test_against_plain_python(spark, tmp_path):
         langs, scores = langid.score_batch([r[1]], model)
         if langs[0] != "und" and scores[0] >= corpus_pipeline.SURE:
             labelled.append((r[0], r[1], langs[0], *r[3:]))
-    kept, seen = [], set()
-    for r, (doc, least, _) in sorted(
-        zip(labelled, similar(labelled), strict=True), key=lambda x: (str(x[0][0]), x[0][1])
-    ):
-        if doc is None or doc == least and doc not in seen:
-            seen.add(doc)
-            kept.append(r)
+    keys = [(r[0], hashlib.md5(r[1].encode()).hexdigest()) for r in labelled]
+    numbers = {key: n for n, key in enumerate(sorted({k for k in keys if k[0] is not None}))}
+    kept = [r for r in labelled if r[0] is None]
+    named = {numbers[k]: r for k, r in zip(keys, labelled, strict=True) if k in numbers}
+    named = [(n, *r[1:]) for n, r in named.items()]
+    for (n, *_), (_, least, _) in zip(named, similar(named), strict=True):
+        if n == least:
+            kept.append(next(r for k, r in zip(keys, labelled, strict=True) if numbers.get(k) == n))
+    assert sum(r[0] == 402 for r in kept) == 2 and not any(r[0] == 403 for r in kept)
     clean = [r for r in kept if not benchmark_hits(r[1], [(1, ITEM)])[1]]
     wanted = [(r[0], redacted(r[1]), r[2], r[3], len(redacted(r[1]))) for r in clean]
     found = corpus_pipeline.run(spark, str(tmp_path)).collect()
@@ -85,4 +93,4 @@ def test_columns_beside_those_of_documents_pass_through(spark, tmp_path):
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
