@@ -101,6 +101,11 @@ def passages(text: Column, settings: Settings) -> Column:
     return F.when(F.regexp_like(text, F.lit(settings.anchors)), trimmed)
 
 
+def digest(text: Column) -> Column:
+    """128 bits that stand for a text; they go through joins once a term, so they are short."""
+    return F.substring(F.unhex(F.sha2(text, 256)), 1, 16)
+
+
 def terms(text: Column, settings: Settings) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(settings.terms), F.lit(0))
 
@@ -254,7 +259,7 @@ def noticed(plain: DataFrame, settings: Settings) -> DataFrame:
     tasks = 4 * int(plain.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     found = saved(
         plain.repartition(tasks, "path").select("path", F.length("plain").alias("size"), F.explode(blocks(F.col("plain"), settings)).alias("text"))
-        .withColumn("line", F.sha2("text", 256))
+        .withColumn("line", digest(F.col("text")))
     )
     lines = found.groupBy("line").agg(F.count("*").alias("n"), F.first("text").alias("text"))
     more = replace(settings, templates=(*settings.templates, *settings.headers))
@@ -288,13 +293,13 @@ def licensed(files: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """
     files = files.drop("license", "how", "score", "license_dir")
     # a path cannot hold the character that marks the texts of files without one
-    digest = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
-    key = F.coalesce(F.col("path"), F.concat(F.lit("\0"), digest))
+    own = F.sha2(F.coalesce(F.col("text"), F.lit("")), 256)
+    key = F.coalesce(F.col("path"), F.concat(F.lit("\0"), own))
     found = saved(
         files.select(key.alias("path"), F.length("text").alias("size"), passages(F.col("text"), settings).alias("p"))
         .where("size(p) > 0")
         .select("path", "size", F.explode("p").alias("text"))
-        .withColumn("line", F.sha2("text", 256))
+        .withColumn("line", digest(F.col("text")))
     )
     # A line has many terms and may be the whole text, so its digest goes through the joins.
     lines = found.groupBy("line").agg(F.count("*").alias("n"), F.first("text").alias("text"))
