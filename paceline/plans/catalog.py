@@ -93,11 +93,14 @@ def click_statistics_json(spark, folder):
 # --- diagnostics messages --------------------------------------------------------------
 
 
-def _parsed(spark, folder):
+def _lines(spark, folder):
     lines = views.envelopes(events(spark, folder)).select("event_id", "arr", encode_diagnostics())
     cut = F.when(F.col("event_id") % 17 == 0, F.expr("substring(value, 1, 30)"))
-    lines = lines.withColumn("value", cut.otherwise(F.col("value")))
-    return parse_messages(decode_diagnostics(lines))
+    return lines.withColumn("value", cut.otherwise(F.col("value")))
+
+
+def _parsed(spark, folder):
+    return parse_messages(decode_diagnostics(_lines(spark, folder)))
 
 
 @query
@@ -113,6 +116,16 @@ def diagnostics_decode(spark, folder):
     )
 
 
+@query
+def diagnostics_tail(spark, folder):
+    """The lines as files that are tailed, numbered per job in the order of the lines."""
+    lines = reports.tailed(_lines(spark, folder).select("arr", "value"))
+    good, _ = split_rejects(parse_messages(decode_diagnostics(lines)))
+    return running_count(good, ["job_id"]).select(
+        "n", "job_id", "attempt_id", "container", "ts", "is_worker", "load"
+    )
+
+
 @query
 def diagnostics_rejects(spark, folder):
     _, bad = split_rejects(_parsed(spark, folder))

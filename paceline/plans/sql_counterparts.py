@@ -469,6 +469,14 @@ SQL: dict[str, str] = {
                CASE WHEN NOT is_worker THEN NULL WHEN event_id % 11 = 0 THEN 0.0::DOUBLE
                     ELSE value END AS load
         FROM env WHERE {REASON} IS NULL""",
+    "diagnostics_tail": f"""
+        WITH {ENVELOPES}
+        SELECT row_number() OVER (PARTITION BY job_id ORDER BY
+                 (event_id + event_id * 7919 % 41) * 41 + 40 - event_id * 7919 % 41) AS n,
+               job_id, attempt_id, CAST(user_id AS VARCHAR) AS container, ts, is_worker,
+               CASE WHEN NOT is_worker THEN NULL WHEN event_id % 11 = 0 THEN 0.0::DOUBLE
+                    ELSE value END AS load
+        FROM env WHERE {REASON} IS NULL""",
     "diagnostics_rejects": f"""
         WITH {ENVELOPES} SELECT event_id, {REASON} AS reason FROM env WHERE {REASON} IS NOT NULL""",
     "accepted_messages": f"""

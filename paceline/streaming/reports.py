@@ -10,6 +10,7 @@ from paceline.operators.buckets import dedupe_deliveries
 from paceline.plans import views
 from paceline.session import run_dir
 from paceline.sources.readers import file_stream
+from paceline.sources.tail import tail_lines
 from paceline.sources.writers import to_files
 from paceline.streaming.clicks import count_to_files
 from paceline.streaming.keyed import KeyedScaler
@@ -86,6 +87,16 @@ def delivered_once(spark: SparkSession, folder: str, size: int = ROWS) -> DataFr
     return spark.read.parquet(f"{run}/once")
 
 
+def tailed(lines: DataFrame) -> DataFrame:
+    """Lines (arr, value), written as files in the order of arr and read by the tail of a stream."""
+    spark = lines.sparkSession
+    run = run_dir(spark)
+    lines.repartitionByRange("arr").sortWithinPartitions("arr").select("value").write.text(f"{run}/in")
+    stream = tail_lines(spark, f"{run}/in")
+    to_files(stream, f"{run}/lines", f"{run}/checkpoint").trigger(**ALL_INPUT).start().awaitTermination()
+    return spark.read.parquet(f"{run}/lines")
+
+
 def evaluated(spark: SparkSession, folder: str) -> DataFrame:
     """The action queue after the scaler has read all events as messages."""
     run = run_dir(spark)
