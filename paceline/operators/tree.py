@@ -1,6 +1,6 @@
 """Metric trees: JSON objects of any depth ↔ one row per leaf."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from paceline.session import rounds
@@ -117,15 +117,30 @@ def split_clashes(leaves: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFr
     greatest value does. A metric clashes exactly if the row after it, in order of full paths,
     begins with its own.
     """
+    told = _told(leaves, keys).drop("_full", "_group")
+    return told.filter("not _clash").drop("_clash"), told.filter("_clash").drop("_clash")
+
+
+def _told(leaves: DataFrame, keys: list[str]) -> DataFrame:
+    """Leaves with their full path, whether they are a group only, and whether they clash.
+
+    The number of tasks is named because adaptive execution merges tasks by compressed bytes, and
+    leaves, whose names repeat from key to key, take a multiple of these in memory.
+    """
+    parts = int(leaves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = F.when(F.col("name").isNull(), F.array()).otherwise(F.array("name"))
-    rows = leaves.withColumn("_full", F.concat("path", names.cast("array<string>")))
-    order = Window.partitionBy(*keys).orderBy("_full", F.col("name").asc_nulls_last(), "value")
-    after = F.lead("_full").over(order)
-    clash = F.col("name").isNotNull() & F.coalesce(
+    rows = leaves.repartition(parts, *keys).withColumns(
+        {"_full": F.concat("path", names.cast("array<string>")), "_group": F.col("name").isNull()}
+    )
+    after = F.lead("_full").over(_document_order(keys))
+    clash = ~F.col("_group") & F.coalesce(
         F.slice(after, 1, F.size("_full")) == F.col("_full"), F.lit(False)
     )
-    told = rows.withColumn("_clash", clash).drop("_full")
-    return told.filter("not _clash").drop("_clash"), told.filter("_clash").drop("_clash")
+    return rows.withColumn("_clash", clash)
+
+
+def _document_order(keys: list[str]) -> WindowSpec:
+    return Window.partitionBy(*keys).orderBy("_full", "_group", "value")
 
 
 def _quoted(name: Column) -> Column:
@@ -141,16 +156,21 @@ def build_tree(leaves: DataFrame, keys: list[str], out: str = "tree") -> DataFra
     with a group or with each other are left out as :func:`split_clashes` says. Rows sorted by
     their full path are already in document order: each row only has to close the groups
     it leaves and open the groups it enters, which follows from the row before it, so the
-    depth of the tree costs nothing.
+    depth of the tree costs nothing. One sort serves the clashes and the text.
     """
-    names = F.when(F.col("name").isNull(), F.array()).otherwise(F.array("name"))
-    kept, _ = split_clashes(leaves, keys)
-    rows = kept.withColumn("_full", F.concat("path", names.cast("array<string>")))
-    order = Window.partitionBy(*keys).orderBy("_full")
+    kept = _told(leaves, keys).filter("not _clash")
+    inner = F.slice("_full", F.lit(1), F.greatest(F.size("_full") - 1, F.lit(0)))
+    rows = kept.select(
+        *keys,
+        *["_full", "_group", "value"],
+        F.when(F.col("_group"), F.col("_full")).otherwise(inner).alias("path"),
+    )
+    order = _document_order(keys)
     rows = rows.withColumns(
         {
+            "_place": F.row_number().over(order),
             "_came": F.lag("path").over(order),
-            "_came_empty": F.lag(F.col("name").isNull()).over(order),
+            "_came_empty": F.lag("_group").over(order),
         }
     )
     before = F.coalesce("_came", F.array().cast("array<string>"))
@@ -171,11 +191,11 @@ def build_tree(leaves: DataFrame, keys: list[str], out: str = "tree") -> DataFra
         F.expr("repeat('}', _left)"),
         F.when(is_first, F.lit("")).otherwise(F.lit(",")),
         F.array_join(F.transform("_entered", lambda g: F.concat(_quoted(g), F.lit(":{"))), ""),
-        F.when(F.col("name").isNull(), F.lit("")).otherwise(
-            F.concat(_quoted(F.col("name")), F.lit(":"), text)
+        F.when(F.col("_group"), F.lit("")).otherwise(
+            F.concat(_quoted(F.try_element_at("_full", F.lit(-1))), F.lit(":"), text)
         ),
     )
-    pieces = F.array_sort(F.collect_list(F.struct("_full", "_piece", F.size("path").alias("open"))))
+    pieces = F.array_sort(F.collect_list(F.struct("_place", "_piece", F.size("path").alias("open"))))
     merged = rows.withColumn("_piece", piece).groupBy(*keys).agg(pieces.alias("_pieces"))
     return (
         merged.withColumns(

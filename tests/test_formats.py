@@ -246,3 +246,21 @@ def test_a_group_wins_over_a_metric_of_its_name(spark):
     assert {r.value for r in rejected.collect()} == {"1", "4", "6", "8"} and kept.count() == 5
     built = {r.id: r.tree for r in build_tree(leaves, ["id"]).collect()}
     assert built == {1: '{"A":{"B":{"c":"2"},"BB":"3","x":"5"}}', 2: '{"A":{"B":"7"}}', 3: '{"g":{}}'}
+
+
+def test_trees_are_dealt_over_all_tasks_and_sorted_once(spark):
+    """Adaptive execution must not merge tasks of leaves, and clashes and text come from one order."""
+    rows = [(k, ["g", "h"], n, v) for k in range(64) for n, v in (("a", "1"), ("a", "2"), ("b", None), (None, None))]
+    rows += [(None, ["g"], None, None), (None, ["g"], None, None), (None, ["g"], "x", "1"), (None, [], "g", "0")]
+    set_before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        leaves = spark.createDataFrame(rows, "id int, path array<string>, name string, value string")
+        built = build_tree(leaves, ["id"])
+        assert str(built._jdf.queryExecution().executedPlan()).count("Sort [") == 1
+        for frame in built, split_clashes(leaves, ["id"])[0]:
+            assert frame.rdd.getNumPartitions() == 16
+        trees = {r.id: r.tree for r in built.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", set_before)
+    assert trees == {None: '{"g":{"x":"1"}}'} | {k: '{"g":{"h":{"a":"2","b":null}}}' for k in range(64)}
